@@ -1,4 +1,4 @@
 """Queries over the test tables, with the SQL that gives the same rows."""
 
 #: Modules whose QUERIES and SQL make up the catalogue.
-MODULES = ["curveloom.sources.delimited"]
+MODULES = ["curveloom.sources.delimited", "curveloom.plans.catalog"]
