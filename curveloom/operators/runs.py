@@ -84,3 +84,14 @@ def run_segments(rows: DataFrame, key: str, order: list[str], sign) -> DataFrame
     w = Window.partitionBy(key).orderBy(*order)
     x = rows.withColumn("s", sign).withColumn("last", F.lag("s").over(w))
     return x.groupBy(key).agg(F.sum(F.when(F.col("last").isNull() | (F.col("last") != F.col("s")), 1).otherwise(0)).alias("segments"), F.count("*").alias("rows"))
+
+
+def window_volume(spark, dims: int, bits: int, window: int) -> float:
+    """Mean volume of the bounding boxes of ``window`` successive positions over the whole curve, by ``window``. A small utility: the curve has 2 ** (dims * bits) positions."""
+    from ..functions.curve import curve_point
+
+    p = spark.range(1 << dims * bits).select("id", curve_point(F.col("id"), dims, bits).alias("c"))
+    w = p.select((F.col("id") - F.explode(F.sequence(F.lit(0), F.lit(window - 1)))).alias("start"), "c").where(f"start >= 0 and start <= {(1 << dims * bits) - window}")
+    box = w.groupBy("start").agg(*[(F.max(F.col("c")[i]) - F.min(F.col("c")[i]) + 1).cast("double").alias(f"e{i}") for i in range(dims)])
+    volume = box.select((F.expr(" * ".join(f"e{i}" for i in range(dims))) / window).alias("v"))
+    return volume.agg(F.avg("v")).first()[0]

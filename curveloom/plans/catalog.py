@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import curve, points as P
-from ..operators import balance, knn, order, pairs, runs, stats
+from ..operators import balance, classify, knn, order, pairs, runs, stats
 from ..runtime import Stages, table
+from ..streaming.quantile import batch_quantile
 from .sqlgen import curve_key_sql
 
 DIMS, BITS, K, WINDOW = 6, 10, 5, 20
@@ -422,3 +423,41 @@ def kendall_tau(spark, d):
 def sample_points(spark, d):
     """A sampling operator: exactly 100 points by keyed hash."""
     return order.sample_exact(pts(spark, d).select("id", "label"), 100, seed=5)
+
+
+@query("order_search")
+def order_search(spark, d):
+    """Best permutation of the first dimensions and its number of clusters."""
+    p = pts(spark, d).withColumn("coords", F.slice("coords", 1, 16))
+    perm, k = classify.order_search(p, 16, BITS, outlier=2, rounds=3)
+    return spark.createDataFrame([(",".join(map(str, perm)), k)], "perm string, clusters int")
+
+
+@query("curve_classify")
+def curve_classify(spark, d):
+    return classify.curve_classify(pts(spark, d), 64, BITS)[0]
+
+
+@query("density_split")
+def density_split(spark, d):
+    return classify.density_split(pts(spark, d), BITS, 400_000)
+
+
+@query("frugal_quantile")
+def frugal_quantile(spark, d):
+    """Online median of event values (in cents) per user, in the order of events."""
+    e = table(spark, d, "events").select("user_id", "event_id", F.round(F.col("value") * 100).cast("long").alias("cents"))
+    return batch_quantile(e, "user_id", "cents", "event_id", 0.5)
+
+
+_REF = [f"list_transform(range(64), lambda i: CASE WHEN i % 4 = {r} THEN 1023 ELSE 0 END)" for r in range(4)]
+
+
+@query("triangulation", f"WITH {_PTS}, r AS (SELECT id, [{', '.join('sqrt(' + _D2.format('coords', x) + '::DOUBLE)' for x in _REF)}] AS r FROM pts) SELECT a.id, list_max(list_transform(list_zip(a.r, b.r), lambda z: pow(z[1] - z[2], 2))) > 40000 AS farther FROM r a JOIN r b ON b.id = a.id + 1")
+def triangulation(spark, d):
+    """Pairs known to be farther than 200 apart from their distances to four reference points alone."""
+    refs = [F.array(*[F.lit(1023 if i % 4 == r else 0) for i in range(64)]) for r in range(4)]
+    p = pts(spark, d).select("id", F.array(*[F.sqrt(P.square_distance(F.col("coords"), r).cast("double")) for r in refs]).alias("r"))
+    b = p.select((F.col("id") - 1).alias("id"), F.col("r").alias("s"))
+    return p.join(b, "id").select("id", (F.array_max(F.zip_with("r", "s", lambda x, y: F.pow(x - y, F.lit(2.0)))) > 40000).alias("farther"))
+
