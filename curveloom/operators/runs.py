@@ -91,7 +91,7 @@ def window_volume(spark, dims: int, bits: int, window: int) -> float:
     from ..functions.curve import curve_point
 
     p = spark.range(1 << dims * bits).select("id", curve_point(F.col("id"), dims, bits).alias("c"))
-    w = p.select((F.col("id") - F.explode(F.sequence(F.lit(0), F.lit(window - 1)))).alias("start"), "c").where(f"start >= 0 and start <= {(1 << dims * bits) - window}")
+    w = p.select("id", "c", F.explode(F.sequence(F.lit(0), F.lit(window - 1))).alias("back")).select((F.col("id") - F.col("back")).alias("start"), "c").where(f"start >= 0 and start <= {(1 << dims * bits) - window}")
     box = w.groupBy("start").agg(*[(F.max(F.col("c")[i]) - F.min(F.col("c")[i]) + 1).cast("double").alias(f"e{i}") for i in range(dims)])
     volume = box.select((F.expr(" * ".join(f"e{i}" for i in range(dims))) / window).alias("v"))
     return volume.agg(F.avg("v")).first()[0]
