@@ -105,6 +105,7 @@ def seeds(x: np.ndarray, rng: np.random.Generator, keep: int, trees: int = 3, ce
         for lo in range(0, len(order), 512):
             o = order[lo : lo + 512]
             c = x[o]
+            c = c - c.mean(axis=1, keepdims=True)  # small numbers keep their digits
             m = np.einsum("skd,skd->sk", c, c)
             g = m[:, :, None] + m[:, None, :] - 2 * (c @ c.transpose(0, 2, 1))
             g[o[:, :, None] == o[:, None, :]] = np.inf
@@ -133,7 +134,7 @@ def robust_prune(x: np.ndarray, own: np.ndarray, ids: np.ndarray, d: np.ndarray,
     out = np.full((len(own), degree), -1, np.int32)
     for lo in range(0, len(own), 2048):
         i, dd = ids[lo : lo + 2048], d[lo : lo + 2048]
-        c = x[np.maximum(i, 0)]
+        c = x[np.maximum(i, 0)] - x[own[lo : lo + 2048], None]
         m = np.einsum("bmd,bmd->bm", c, c)
         g = m[:, :, None] + m[:, None, :] - 2 * (c @ c.transpose(0, 2, 1))
         alive = (i >= 0) & (i != own[lo : lo + 2048, None])
@@ -174,11 +175,11 @@ def _both_ways(x: np.ndarray, nbrs: np.ndarray, degree: int, alpha: float) -> np
 
 def beam_search(x: np.ndarray, nbrs: np.ndarray, q: np.ndarray, start: np.ndarray, beam: int, width: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """Greedy search from ``start`` (rows of ids): expands the nearest unexpanded entries of the beam until none is left."""
-    out_i, out_d = np.full((len(q), beam), -1, np.int32), np.full((len(q), beam), np.inf, np.float32)
+    out_i, out_d = np.full((len(q), beam), -1, np.int32), np.full((len(q), beam), np.inf, x.dtype)
     degree = nbrs.shape[1]
     for lo in range(0, len(q), 1024):
         qq, s = q[lo : lo + 1024], start[lo : lo + 1024]
-        d = np.where(s >= 0, _dist(x, qq, np.maximum(s, 0)), np.inf).astype(np.float32)
+        d = np.where(s >= 0, _dist(x, qq, np.maximum(s, 0)), np.inf).astype(x.dtype)
         ids, d = _unique_sorted(s.astype(np.int32), d, beam)
         if ids.shape[1] < beam:
             more = beam - ids.shape[1]
@@ -197,7 +198,7 @@ def beam_search(x: np.ndarray, nbrs: np.ndarray, q: np.ndarray, start: np.ndarra
             done[act[:, None], pick] |= live
             nb = np.where(live[:, :, None], nbrs[node], -1).reshape(len(act), width * degree)
             nb = np.where((nb[:, :, None] == ids[act][:, None, :]).any(axis=2), -1, nb)
-            nd = np.where(nb >= 0, _dist(x, qq[act], np.maximum(nb, 0)), np.inf).astype(np.float32)
+            nd = np.where(nb >= 0, _dist(x, qq[act], np.maximum(nb, 0)), np.inf).astype(x.dtype)
             nb = np.where(nd < d[act][:, -1:], nb, -1)
             nd = np.where(nb >= 0, nd, np.inf)
             ci, cd, ce = np.concatenate([ids[act], nb], 1), np.concatenate([d[act], nd], 1), np.concatenate([done[act], nb < 0], 1)
@@ -222,7 +223,9 @@ def build(x: np.ndarray, degree: int, beam: int, alpha: float, seed: int) -> np.
     n = len(x)
     if n == 1:
         return np.full((1, degree), -1, np.int32)
-    ids, d = seeds(x, rng, 8)
+    ids, _ = seeds(x, rng, 8)
+    d = np.concatenate([np.where(i >= 0, _dist(x, x[lo : lo + 4096], np.maximum(i, 0)), np.inf) for lo in range(0, n, 4096) for i in [ids[lo : lo + 4096]]])
+    ids, d = _unique_sorted(ids, d, ids.shape[1])
     nbrs = robust_prune(x, np.arange(n), ids, d, degree, alpha)
     nbrs = _both_ways(x, nbrs, degree, alpha)
     start = np.concatenate([np.arange(n, dtype=np.int32)[:, None], ids[:, :8]], axis=1)

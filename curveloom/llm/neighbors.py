@@ -101,10 +101,11 @@ def _links(x: np.ndarray, root: np.ndarray, lim: float) -> tuple[list, list, lis
     names, root, sizes = np.unique(root, return_inverse=True, return_counts=True)
     rows = np.nonzero(root != np.argmax(sizes))[0]
     m = np.einsum("nd,nd->n", x, x)
+    slack = 8 * float(np.finfo(x.dtype).eps) * float(m.max(initial=0)) + 1
     seen, out = set(), ([], [], [])
     for lo in range(0, len(rows), 1024):
         r = rows[lo : lo + 1024]
-        near = m[r][:, None] + m[None, :] - 2 * (x[r] @ x.T) <= lim * 1.001 + 1
+        near = m[r][:, None] + m[None, :] - 2 * (x[r] @ x.T) <= lim * 1.001 + slack
         near &= root[r][:, None] != root[None, :]
         i, j = np.nonzero(near)
         if not len(i):
