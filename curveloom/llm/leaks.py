@@ -212,5 +212,15 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p6_found": p6_found, "p6_leaks": p6_leaks}
-_WORDS = r"list_filter(string_split_regex(regexp_replace(lower(nfc_normalize({0})), '[\x{{00AD}}\x{{200B}}\x{{200C}}\x{{200D}}\x{{FEFF}}]', '', 'g'), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
-SQL: dict[str, str] = {}
+#: What compatibility composition changes in Latin text, for SQL, which only has canonical composition: full-width forms, raised signs and fractions.
+_WIDE, _NARROW = "".join(chr(c + 0xFEE0) for c in range(0x21, 0x7F)) + "ªº²³¹", "".join(chr(c) for c in range(0x21, 0x7F)).replace("'", "''") + "ao231"
+_TEXT = f"translate(replace(replace(replace(@, '¼', '1⁄4'), '½', '1⁄2'), '¾', '3⁄4'), '{_WIDE}', '{_NARROW}')"
+_LIST = r"regexp_extract_all(regexp_replace(lower(nfc_normalize({0})), '[\x{{00AD}}\x{{200B}}\x{{200C}}\x{{200D}}\x{{FEFF}}]', '', 'g'), '[\p{{L}}\p{{N}}]+')"
+_RUNS = "SELECT {0}, array_to_string(w[k:k + 11], ' ') AS s FROM (SELECT {0}, w, unnest(range(1, len(w) - 10)) AS k FROM (SELECT {0}, {1} AS w FROM {2}))"
+SQL = {
+    "p6_found": "SELECT DISTINCT doc_id, item_id FROM ("
+    + _RUNS.format("doc_id", _LIST.format(_TEXT.replace("@,", "text,")), "documents")
+    + ") JOIN ("
+    + _RUNS.format("item_id", _LIST.format(_TEXT.replace("@,", "passage,")), "eval_items")
+    + ") USING (s)"
+}

@@ -227,13 +227,14 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p5_found": p5_found}
-SQL: dict[str, str] = {}
 
-#: The exact answer, for measuring recall on small tables.
-EXACT = """
+#: The exact answer by all pairs: quick at the scale of the comparison, where no neighbour is lost.
+SQL = {
+    "p5_found": """
 WITH p AS (SELECT DISTINCT p.point_id AS id, p.dataset_id AS grp, p.coords, d.merge_square_distance AS lim FROM points p JOIN datasets d USING (dataset_id)
   WHERE p.coords IS NOT NULL AND len(p.coords) = d.dims AND NOT list_contains(list_transform(p.coords, lambda x: x IS NULL), true)),
 n AS (SELECT a.id, b.id AS nbr, list_sum(list_transform(list_zip(a.coords, b.coords), lambda z: (z[1] - z[2])::BIGINT * (z[1] - z[2]))) AS d2, a.lim FROM p a JOIN p b ON a.grp = b.grp AND a.id <> b.id),
 t AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY id ORDER BY d2, nbr) <= 5)
 SELECT DISTINCT least(id, nbr) AS point_a, greatest(id, nbr) AS point_b FROM t WHERE d2 <= lim
 """
+}
