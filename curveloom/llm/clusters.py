@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..runtime import Stages, table
 from ..sources.points import valid_points
 from .components import connected_groups
+from .links import cluster_links
 from .neighbors import copy_neighbours, nearest_vectors
 
 #: Entries of a column under this share are pruned (the largest stays), so a column holds at most 1 / PRUNE entries.
@@ -63,8 +64,8 @@ def flow_clusters(points: DataFrame, k: int = 5, merge: bool = True) -> DataFram
     """``(id, grp, cluster_id, flow_cluster, inflow, outlier)`` of every point; one that no step reaches is its own cluster.
 
     The similarity graph ties each point to its nearest within ``lim`` (and copies to their smallest ones). Markov clustering divides it. With
-    ``merge`` the exact check follows: flow clusters that a step of at most ``lim`` links become one, so that a cluster is everything
-    reachable by such steps; cluster_id is its smallest id.
+    ``merge`` flow clusters that the graph ties become one; then the exact check searches all rows of the group for steps of at most ``lim``
+    between those left and joins them too, so that a cluster is everything reachable by such steps; cluster_id is its smallest id.
     """
     spark = points.sparkSession
     work = Stages(spark, "clusters")
@@ -80,6 +81,11 @@ def flow_clusters(points: DataFrame, k: int = 5, merge: bool = True) -> DataFram
         cross = cross.select(F.coalesce("fa", "a").alias("a"), F.coalesce("fb", "b").alias("b")).where("a <> b")
         joined = connected_groups(cross).select(F.col("node").alias("flow_cluster"), "root")
         flow = pts.select("id", "grp", "outlier").join(flow, "id", "left").withColumn("flow_cluster", F.coalesce("flow_cluster", "id")).join(joined, "flow_cluster", "left").withColumn("root", F.coalesce("root", "flow_cluster"))
+        flow = work.write(flow)
+        links = cluster_links(pts.join(flow.select("id", F.col("root").alias("comp")), "id"))
+        if not links.isEmpty():
+            last = connected_groups(links).select(F.col("node").alias("root"), F.col("root").alias("whole"))
+            flow = flow.join(last, "root", "left").withColumn("root", F.coalesce("whole", "root")).drop("whole")
     else:
         flow = pts.select("id", "grp", "outlier").join(flow, "id", "left").withColumn("flow_cluster", F.coalesce("flow_cluster", "id")).withColumn("root", F.col("flow_cluster"))
     flow = work.write(flow.fillna(0.0, ["inflow"]))

@@ -89,3 +89,39 @@ def test_markov_two_cliques(spark):
     rows = K.markov_clusters(spark.createDataFrame(e, "a bigint, b bigint, weight double")).collect()
     names = {r.id: r.flow_cluster for r in rows}
     assert len({names[i] for i in range(5)}) == 1 and len({names[i] for i in range(10, 15)}) == 1 and names[0] != names[10]
+
+
+def test_a_step_that_every_tree_parts(spark):
+    """Two parts of a group of two shards, tied by their nearest two points only."""
+    rng = np.random.default_rng(9)
+    a, b = rng.integers(0, 200, (3000, 4)), rng.integers(0, 200, (3000, 4)) + [270, 0, 0, 0]
+    lim = min(int(np.square(a[i : i + 500, None] - b[None]).sum(axis=2).min()) for i in range(0, 3000, 500))
+    assert {(r.cluster_id, r.size) for r in K.flow_clusters(frame(spark, np.concatenate([a, b]), lim)).collect()} == {(0, 6000)}
+
+
+def test_cluster_links(spark):
+    """Against all pairs: many cells and blocks, copies of other clusters, two groups, coordinates up to 2 ** 31."""
+    from curveloom.llm.links import cluster_links
+
+    rng = np.random.default_rng(2)
+    x, _ = datagen.gaussian_clusters(8, 10, (20, 60), deviation=(10, 20), top=1000, seed=3)
+    x = np.concatenate([x, rng.integers(0, 1000, (60, 10)), x[:4]])
+    x = np.concatenate([x, x[:90] + (2**31 - 1200)])
+    grp, comp, lim = np.where(np.arange(len(x)) % 3 == 0, 2, 1), rng.integers(0, 40, len(x)), 9_000
+    comp = comp * 2 + grp % 2
+    near = (np.square(x[:, None].astype(float) - x[None]).sum(axis=2) <= lim) & (grp[:, None] == grp[None])
+
+    def groups(pairs):
+        root = {int(c): int(c) for c in comp}
+        for a, b in pairs:
+            a, b = root[a], root[b]
+            root = {k: a if v == b else v for k, v in root.items()}
+        return {frozenset(k for k in root if root[k] == v) for v in root.values()}
+
+    df = spark.createDataFrame([(i, int(grp[i]), [int(v) for v in p], lim, int(comp[i])) for i, p in enumerate(x)], "id bigint, grp int, coords array<int>, lim bigint, comp bigint")
+    lone = df.withColumn("comp", df.id)
+    want = groups((int(comp[i]), int(comp[j])) for i, j in np.argwhere(near))
+    assert groups((r.a, r.b) for r in cluster_links(df, per=150, block=120).collect()) == want
+    comp = np.arange(len(x))
+    want = groups((int(i), int(j)) for i, j in np.argwhere(near))
+    assert groups((r.a, r.b) for r in cluster_links(lone, per=100).collect()) == want
