@@ -13,9 +13,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import table
+from ..runtime import Stages, table
 
-#: Most labelled documents, and as many without labels, that the terms are curated from.
+#: Most labelled documents that seed the terms and set the thresholds. All other counts are taken over every document.
 FIT_DOCUMENTS = 20_000
 #: Sentences a term must be in, share of them about its subject while terms are gathered and in the end, and rounds of curation.
 LEAST, PURITY, STRONG, ROUNDS = 4, 0.6, 0.7, 4
@@ -65,11 +65,76 @@ def _treats(found) -> bool:
     return len(names) >= 2 or any(n.count(" ") >= 3 for n in names)
 
 
-def curate_terms(labelled: list[tuple[list[list[str]], set[str]]], others: list[list[list[str]]], least: int = LEAST, purity: float = PURITY, rounds: int = ROUNDS) -> dict:
-    """Subject terms, phrases, context words and thresholds from labelled documents (sentences, subjects) and unlabelled ones.
+#: Entries a task counts before it hands them on.
+FLUSH = 200_000
+
+
+def _agreeing(words: list[str], terms: dict[str, tuple[str, float]]) -> Iterator[tuple[str, str]]:
+    """Words of a sentence about one subject, with it: those beside another term of it, or all if one other subject is only named in passing."""
+    uniq = set(words)
+    here = Counter(terms[w][0] for w in uniq if w in terms)
+    if len(here) == 1:
+        ((subject, k),) = here.items()
+        yield from ((w, subject) for w in uniq if k - (w in terms) >= 1)
+    elif here:
+        (s1, k1), (s2, k2) = here.most_common(2)
+        if k1 >= 3 and k2 == 1:
+            yield from ((w, s1) for w in uniq if terms.get(w, (s1,))[0] == s1)
+
+
+def _phrases(words: list[str], terms: dict[str, tuple[str, float]]) -> Iterator[tuple[str, str]]:
+    """Terms of a sentence, and the terms of one subject that follow each other or with a short word between."""
+    for i, w in enumerate(words):
+        if w in terms:
+            yield w, ""
+            if i + 1 < len(words) and terms.get(words[i + 1], ("",))[0] == terms[w][0]:
+                yield " ".join(words[i : i + 2]), ""
+            if i + 2 < len(words) and words[i + 1] not in terms and len(words[i + 1]) <= 4 and terms.get(words[i + 2], ("",))[0] == terms[w][0]:
+                yield " ".join(words[i : i + 3]), ""
+
+
+def _surroundings(words: list[str], terms: dict[str, tuple[str, float]], joined: set) -> Iterator[tuple[str, str]]:
+    """Other words of a sentence that treats a subject ("many") or only names one ("one"); the sentence itself counts as the word ""."""
+    if m := _mentions(words, terms, joined):
+        kind = "many" if _treats([t for _, t, _, _ in m]) else "one"
+        yield "", kind
+        yield from ((w, kind) for w in set(words) if w not in terms)
+
+
+def _tally(pool: DataFrame, found, *given) -> DataFrame:
+    """``(w, kind, k)``: how often ``found(words, *given)`` gives each (w, kind), over all sentences."""
+    known = pool.sparkSession.sparkContext.broadcast(given)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c: Counter = Counter()
+        show = lambda: pd.DataFrame([(w, kind, k) for (w, kind), k in c.items()], columns=["w", "kind", "k"])
+        for b in batches:
+            for line in b.line:
+                c.update(found(line.split(" "), *known.value))
+                if len(c) > FLUSH:
+                    yield show()
+                    c.clear()
+        yield show()
+
+    return pool.mapInPandas(count, "w string, kind string, k bigint").groupBy("w", "kind").agg(F.sum("k").alias("k"))
+
+
+def sentence_pool(docs: DataFrame) -> DataFrame:
+    """``(line)``: every sentence of every document, words parted by a blank."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"line": [" ".join(s) for t in b.text for s in sentences_of(t)]}, dtype=object)
+
+    return docs.select("text").mapInPandas(cut, "line string")
+
+
+def curate_terms(labelled: list[tuple[list[list[str]], set[str]]], pool: DataFrame, least: int = LEAST, purity: float = PURITY, rounds: int = ROUNDS) -> dict:
+    """Subject terms, phrases, context words and thresholds from labelled documents (sentences, subjects) and ``pool(line)``, all sentences of the corpus.
 
     First terms are words whose documents mostly bear one subject; then a word is kept if most sentences it is in also hold another term
     of the same subject and none of a different one. Labels may be wrong or missing: they only seed the terms and set the thresholds.
+    All counts of words, pairs, contexts and rarity are distributed aggregates over the pool; the driver holds what is admitted, which follows the vocabulary.
     """
     n, by, prior = Counter(), defaultdict(Counter), Counter()
     for doc, subjects in labelled:
@@ -86,31 +151,12 @@ def curate_terms(labelled: list[tuple[list[list[str]], set[str]]], others: list[
             p = (k + base) / (n[w] + 1)
             if k >= min(3, least) and p >= max(0.65, 2.2 * base) and p > terms.get(w, ("", 0.0))[1]:
                 terms[w] = (s, p)
-    pool = [s for doc, _ in labelled for s in doc] + [s for doc in others for s in doc]
+    work = Stages(pool.sparkSession, "subjects")
+    pool = work.write(pool)
+    seen = work.write(pool.select(F.explode(F.array_distinct(F.split("line", " "))).alias("w")).groupBy("w").agg(F.count("*").alias("seen")).where(F.col("seen") >= least))
     for _ in range(rounds):
-        seen, good = Counter(), defaultdict(Counter)
-        for s in pool:
-            uniq = set(s)
-            seen.update(uniq)
-            here = Counter(terms[w][0] for w in uniq if w in terms)
-            if not here:
-                continue
-            if len(here) == 1:
-                (subject, k), = here.items()
-                for w in uniq:
-                    if k - (w in terms) >= 1:
-                        good[w][subject] += 1
-            else:
-                (s1, k1), (s2, k2) = here.most_common(2)
-                if k1 >= 3 and k2 == 1:
-                    for w in uniq:
-                        if terms.get(w, (s1,))[0] == s1:
-                            good[w][s1] += 1
-        new = {}
-        for w, c in good.items():
-            s, k = c.most_common(1)[0]
-            if k >= least and k / seen[w] >= purity and len(w) > 1:
-                new[w] = (s, k / seen[w])
+        good = _tally(pool, _agreeing, terms).where((F.col("k") >= least) & (F.length("w") > 1)).join(seen, "w").withColumn("p", F.col("k") / F.col("seen")).where(F.col("p") >= purity)
+        new = {r.w: (r.kind, r.p) for r in good.collect()}
         if new.keys() == terms.keys():
             terms = new
             break
@@ -118,33 +164,21 @@ def curate_terms(labelled: list[tuple[list[list[str]], set[str]]], others: list[
     terms = {w: t for w, t in terms.items() if t[1] >= STRONG}
     # phrases: neighbouring terms that hardly occur apart
     single, pair = Counter(), Counter()
-    for s in pool:
-        single.update(w for w in s if w in terms)
-        for i, w in enumerate(s):
-            if w in terms:
-                if i + 1 < len(s) and terms.get(s[i + 1], ("",))[0] == terms[w][0]:
-                    pair[w, s[i + 1]] += 1
-                if i + 2 < len(s) and s[i + 1] not in terms and len(s[i + 1]) <= 4 and terms.get(s[i + 2], ("",))[0] == terms[w][0]:
-                    pair[w, s[i + 1], s[i + 2]] += 1
+    for r in _tally(pool, _phrases, terms).where("k >= 2 or not contains(w, ' ')").collect():
+        if " " in r.w:
+            pair[tuple(r.w.split(" "))] = r.k
+        else:
+            single[r.w] = r.k
     joined = {k for k, c in pair.items() if c >= 2 and c >= 0.6 * max(single[k[0]], single[k[-1]])}
     joined |= {k for k, c in pair.items() if c >= 3 and c >= 0.85 * min(single[k[0]], single[k[-1]]) and len(k) == 2}
     # rarity of terms, and the words of sentences that treat a subject against those that only name one
-    total = max(1, len(pool))
+    total = max(1, pool.count())
     terms = {w: (s, p * min(1.0, math.log(total / (1 + single[w]) + 1) / math.log(30))) for w, (s, p) in terms.items()}
-    many, one = Counter(), Counter()
-    n_many = n_one = 0
-    for s in pool:
-        m = _mentions(s, terms, joined)
-        if not m:
-            continue
-        context = {w for w in s if w not in terms}
-        if _treats([t for _, t, _, _ in m]):
-            many.update(context)
-            n_many += 1
-        else:
-            one.update(context)
-            n_one += 1
-    context = {w: max(-3.0, min(3.0, math.log((many[w] + 0.5) / (n_many + 1)) - math.log((one[w] + 0.5) / (n_one + 1)))) for w in many.keys() | one.keys() if many[w] + one[w] >= 2 * least}
+    around = _tally(pool, _surroundings, terms, joined).groupBy("w").agg(*(F.coalesce(F.sum(F.when(F.col("kind") == x, F.col("k"))), F.lit(0)).alias(x) for x in ("many", "one")))
+    around = around.where((F.col("many") + F.col("one") >= 2 * least) | (F.col("w") == "")).collect()
+    many, one = {r.w: r.many for r in around}, {r.w: r.one for r in around}
+    n_many, n_one = many.pop("", 0), one.pop("", 0)
+    context = {w: max(-3.0, min(3.0, math.log((many[w] + 0.5) / (n_many + 1)) - math.log((one[w] + 0.5) / (n_one + 1)))) for w in many}
     model = {"terms": terms, "joined": joined, "context": context, "thresholds": {}}
     # the threshold of each subject is the one that agrees best with its labels
     scored = [(score_document(doc, model), subjects) for doc, subjects in labelled]
@@ -209,16 +243,13 @@ def automaton(model: dict):
 
 
 def fit_subjects(docs: DataFrame, labels: DataFrame, subjects: DataFrame, limit: int = FIT_DOCUMENTS) -> dict:
-    """Curate the model from at most ``limit`` labelled documents and as many others, chosen by a hash of their id."""
+    """Curate the model from all documents, seeded and calibrated on at most ``limit`` labelled ones, chosen by a hash of their id."""
     names = [r[0] for r in subjects.where("subject is not null").select("subject").distinct().limit(1000).collect()]
     known = {n.strip().lower(): n for n in names}
     lab = labels.where("doc_id is not null").groupBy("doc_id").agg(F.collect_set(F.lower(F.trim("subject"))).alias("subjects"))
     text = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
-    pick = lambda df: df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    a = pick(text.join(lab, "doc_id")).collect()
-    b = pick(text.join(lab, "doc_id", "left_anti")).collect()
-    model = curate_terms([(sentences_of(r.text), {known[s] for s in r.subjects if s in known}) for r in a], [sentences_of(r.text) for r in b])
-    return model
+    a = text.join(lab, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).collect()
+    return curate_terms([(sentences_of(r.text), {known[s] for s in r.subjects if s in known}) for r in a], sentence_pool(text))
 
 
 def subject_areas(docs: DataFrame, model: dict) -> DataFrame:

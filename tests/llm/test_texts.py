@@ -106,3 +106,14 @@ def test_subjects(spark):
     assert S.subject_areas(docs.where("false"), model).count() == 0
     empty = S.fit_subjects(docs.where("false"), labels.where("false"), names)
     assert S.subject_areas(docs, empty).count() == 0
+
+
+def test_terms_are_counted_over_all_documents(spark):
+    """A term outside the labelled sample, in six of 1,000 documents without labels."""
+    rows = _corpus()
+    rare = [(5000 + i, f"In {i} the trawlers clearly improve the {w} of Zor{i}.") for i, w in enumerate(["anchors", "sailors", "tides"] * 2)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(1000 + i, f"Nobody knew why Kel{i} had doors.") for i in range(800)] + rare, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, s) for i, _, s in rows[:150]], "doc_id bigint, subject string")
+    names = spark.createDataFrame([("sea",), ("art",)], "subject string")
+    model = S.fit_subjects(docs, labels, names, limit=100)
+    assert model["terms"]["trawlers"][0] == "sea"
