@@ -9,95 +9,106 @@ from ..runtime import Stages, table
 from ..sources.points import valid_points
 from .components import connected_groups
 from .links import cluster_links
-from .neighbors import copy_neighbours, nearest_vectors
+from .neighbors import nearest_vectors
 
-#: Entries of a column under this share are pruned (the largest stays), so a column holds at most 1 / PRUNE entries.
-PRUNE, INFLATION, MAX_STEPS = 0.1, 2.0, 12
-#: Independent trees of the neighbour search: a link between clusters may rest on a single step, so one more than for neighbours alone.
-TREES = 3
+#: Share of a column under which entries are pruned, most entries of a column (the largest; ties by smaller row), inflation, and steps after which an unsettled flow is an error.
+PRUNE, MOST, INFLATION, MAX_STEPS = 0.1, 10, 2.0, 60
+#: A column is settled when its largest entry less the sum of its squares is under this: all its entries are alike then.
+SETTLED = 1e-3
 
 
-def _columns(raw: DataFrame, inflation: float, prune: float) -> DataFrame:
-    """Inflate ``(c, r, v)``, prune small entries and make every column sum to 1."""
+def _columns(raw: DataFrame, inflation: float, prune: float, most: int) -> DataFrame:
+    """The ``most`` largest entries of every column of ``(c, r, v)``, cut before they are shuffled, then inflated, pruned and made to sum to 1."""
+    rank = F.row_number().over(Window.partitionBy("c").orderBy(F.desc("v"), "r"))
     w = Window.partitionBy("c")
-    x = raw.withColumn("v", F.pow("v", F.lit(inflation))).withColumn("s", F.sum("v").over(w)).withColumn("m", F.max("v").over(w))
-    x = x.where((F.col("v") >= prune * F.col("s")) | (F.col("v") == F.col("m")))
-    return x.withColumn("v", F.col("v") / F.sum("v").over(w)).select("c", "r", "v", (F.max("v").over(w) > 0.999).alias("done"))
+    x = raw.withColumn("rn", rank).where(F.col("rn") <= most).withColumn("v", F.pow("v", F.lit(inflation)))
+    x = x.withColumn("s", F.sum("v").over(w)).where((F.col("v") >= prune * F.col("s")) | (F.col("rn") == 1))
+    x = x.withColumn("v", F.col("v") / F.sum("v").over(w))
+    return x.select("c", "r", "v", (F.max("v").over(w) - F.sum(F.col("v") * F.col("v")).over(w) < SETTLED).alias("done"))
 
 
-def markov_clusters(edges: DataFrame, inflation: float = INFLATION, prune: float = PRUNE, max_steps: int = MAX_STEPS) -> DataFrame:
-    """``(id, flow_cluster, inflow)`` of every node of the similarity graph ``edges(a, b, weight)``.
+def markov_clusters(edges: DataFrame, inflation: float = INFLATION, prune: float = PRUNE, most: int = MOST, max_steps: int = MAX_STEPS) -> DataFrame:
+    """``(id, flow_cluster, inflow)`` of every node of the similarity graph ``edges(a, b, weight)``; flow_cluster is the attractor's id.
 
     Edges count in both directions, repeats by their largest weight; each node gets a loop of its largest weight. The column-stochastic
-    matrix is squared by a join on the middle node, inflated and pruned until all columns have a single large entry, whose row is the
-    attractor; ``inflow`` is the flow a node receives after the second step, largest for the typical members of a cluster. Work follows the
-    number of entries kept, at most 1 / prune a column: a hub keeps as few as any other node. Null ends, loops and weights
-    not above 0 are left out; an empty graph gives an empty result.
+    matrix is squared by a join on the middle node, inflated and pruned until every column holds like entries only; the largest (ties: smallest row) is where the
+    node's flow goes, and following it leads to the attractor. ``inflow`` is the flow a node receives after the second step, largest for the typical members of a cluster.
+    A column never holds more than ``most`` entries, whatever ties there are, so a hub costs as much as any other node and a squaring at most ``most`` ** 2 entries a
+    column. Null ends, loops and weights not above 0 are left out; an empty graph gives an empty result; a flow unsettled after ``max_steps`` is an error.
     """
     spark = edges.sparkSession
     work = Stages(spark, "flow")
     e = edges.where("a <> b and weight > 0").select(F.explode(F.array(F.struct(F.col("a").alias("c"), F.col("b").alias("r"), "weight"), F.struct(F.col("b").alias("c"), F.col("a").alias("r"), "weight"))).alias("x")).select("x.*")
     e = e.groupBy("c", "r").agg(F.max("weight").alias("v"))
-    loops = e.groupBy("c").agg(F.max("v").alias("v")).select("c", F.col("c").alias("r"), "v")
-    m = work.write(_columns(e.unionByName(loops), 1.0, prune))
+    top = e.withColumn("rn", F.row_number().over(Window.partitionBy("c").orderBy(F.desc("v"), "r"))).where(F.col("rn") < most)
+    looped = top.select("c", F.explode(F.when(F.col("rn") == 1, F.array(F.struct("r", "v"), F.struct(F.col("c").alias("r"), "v"))).otherwise(F.array(F.struct("r", "v")))).alias("x")).select("c", "x.r", "x.v")
+    m = work.write(_columns(looped, 1.0, prune, most))
     inflow = None
-    for step in range(max_steps):
-        ended = m.where("not done").isEmpty()
-        if step >= 2 and ended:
+    for step in range(max_steps + 1):
+        if step >= 2 and m.where("not done").isEmpty():
             break
+        if step == max_steps:
+            raise RuntimeError(f"the flow has not settled after {max_steps} steps")
         left, right = m.select("c", F.col("r").alias("k"), F.col("v").alias("va")), m.select(F.col("c").alias("k"), "r", F.col("v").alias("vb"))
         squared = left.join(right, "k").groupBy("c", "r").agg(F.sum(F.col("va") * F.col("vb")).alias("v"))
-        old, m = m, work.write(_columns(squared, inflation, prune))
-        if inflow is not None or step == 0:
-            work.drop(old)
+        old, m = m, work.write(_columns(squared, inflation, prune, most))
+        work.drop(old)
         if step == 1:
             inflow = work.write(m.groupBy("r").agg(F.sum("v").alias("inflow")).select(F.col("r").alias("id"), "inflow"))
-        spark.sparkContext._jvm.System.gc()  # lets the cleaner free the shuffle files of dropped steps
-    to = m.groupBy("c").agg(F.max_by("r", F.struct("v", -F.col("r"))).alias("p")).select(F.col("c").alias("id"), "p")
-    # an attractor's own strongest row may be another one: attractor systems are named by one more hop, ties by the smaller id
-    up = to.select(F.col("id").alias("p"), F.col("p").alias("pp"))
-    named = to.join(up, "p", "left").select("id", F.when(F.col("pp") == F.col("id"), F.least("id", "p")).otherwise(F.least("p", F.coalesce("pp", "p"))).alias("flow_cluster"))
-    return named.join(inflow, "id", "left").fillna(0.0, ["inflow"]) if inflow is not None else named.withColumn("inflow", F.lit(0.0))
+    to = work.write(m.groupBy("c").agg(F.max_by("r", F.struct("v", -F.col("r"))).alias("p")).select(F.col("c").alias("id"), "p", F.lit(True).alias("moved")))
+    while not to.where("moved").isEmpty():  # flow of flow, by doubling: columns may settle on a node whose own flow goes on
+        up = to.select(F.col("id").alias("p"), F.col("p").alias("pp"))
+        old, to = to, work.write(to.join(up, "p").select("id", F.col("pp").alias("p"), (F.col("pp") != F.col("p")).alias("moved")))
+        work.drop(old)
+        if work.n > 4 * max_steps:
+            raise RuntimeError("the flow runs in a circle")
+    return to.join(inflow, "id", "left").select("id", F.col("p").alias("flow_cluster"), F.coalesce("inflow", F.lit(0.0)).alias("inflow"))
 
 
 def flow_clusters(points: DataFrame, k: int = 5, merge: bool = True) -> DataFrame:
-    """``(id, grp, cluster_id, flow_cluster, inflow, outlier)`` of every point; one that no step reaches is its own cluster.
+    """``(id, grp, cluster_id, flow_cluster, inflow, size, outlier)`` of every point; one that no step reaches is its own cluster.
 
-    The similarity graph ties each point to its nearest within ``lim`` (and copies to their smallest ones). Markov clustering divides it. With
-    ``merge`` flow clusters that the graph ties become one; then the exact check searches all rows of the group for steps of at most ``lim``
-    between those left and joins them too, so that a cluster is everything reachable by such steps; cluster_id is its smallest id.
+    Exact copies are one node of the similarity graph, which ties each to its nearest within ``lim``; Markov clustering divides it into units, each around an attractor.
+    With ``merge`` units that a step of at most ``lim`` ties become one cluster: first by the graph's own steps between units, then by an exact search
+    whose cells are built around the attractors and which compares points only where a cell can hold a step between different units.
+    cluster_id is the smallest id of the cluster; flow_cluster names the unit. Without ``merge`` the units themselves are the clusters.
     """
     spark = points.sparkSession
     work = Stages(spark, "clusters")
     pts = work.write(points)
-    best, rest = nearest_vectors(pts, k, links=merge, trees=TREES)
-    graph = work.write(best.select(F.col("id").alias("a"), F.col("nbr").alias("b"), "d2", "link").unionByName(copy_neighbours(pts, rest, 1).select(F.col("id").alias("a"), F.col("nbr").alias("b"), "d2", F.lit(False).alias("link"))))
-    lims = pts.select(F.col("id").alias("a"), "lim")
-    similar = graph.where("not link").join(lims, "a").select("a", "b", F.expr("1 / (1 + 8 * d2 / greatest(lim, 1))").alias("weight"))
-    flow = work.write(markov_clusters(similar))
+    nodes = work.write(pts.groupBy("grp", "coords").agg(F.min("id").alias("id"), F.max("lim").alias("lim")))
+    best, _ = nearest_vectors(nodes, k, distinct=True)
+    graph = work.write(best.select(F.col("id").alias("a"), F.col("nbr").alias("b"), "d2").join(nodes.select(F.col("id").alias("a"), "lim"), "a"))
+    flow = markov_clusters(graph.select("a", "b", F.expr("1 / (1 + 8 * d2 / greatest(lim, 1))").alias("weight")))
+    unit = work.write(nodes.join(flow, "id", "left").select("id", "grp", "coords", "lim", F.coalesce("flow_cluster", "id").alias("flow_cluster"), F.coalesce("inflow", F.lit(0.0)).alias("inflow")))
+    named = unit.select("id", "flow_cluster", "inflow", F.col("flow_cluster").alias("root"))
     if merge:
-        f = flow.select("id", "flow_cluster")
-        cross = graph.select("a", "b").join(f.select(F.col("id").alias("a"), F.col("flow_cluster").alias("fa")), "a", "left").join(f.select(F.col("id").alias("b"), F.col("flow_cluster").alias("fb")), "b", "left")
-        cross = cross.select(F.coalesce("fa", "a").alias("a"), F.coalesce("fb", "b").alias("b")).where("a <> b")
-        joined = connected_groups(cross).select(F.col("node").alias("flow_cluster"), "root")
-        flow = pts.select("id", "grp", "outlier").join(flow, "id", "left").withColumn("flow_cluster", F.coalesce("flow_cluster", "id")).join(joined, "flow_cluster", "left").withColumn("root", F.coalesce("root", "flow_cluster"))
-        flow = work.write(flow)
-        links = cluster_links(pts.join(flow.select("id", F.col("root").alias("comp")), "id"))
+        f = unit.select("id", "flow_cluster")
+        cross = graph.join(f.select(F.col("id").alias("a"), F.col("flow_cluster").alias("fa")), "a").join(f.select(F.col("id").alias("b"), F.col("flow_cluster").alias("fb")), "b")
+        cross = cross.where("fa <> fb").select(F.least("fa", "fb").alias("a"), F.greatest("fa", "fb").alias("b")).distinct()
+        named = work.write(_joined(named, connected_groups(cross)))
+        links = cluster_links(unit.join(named.select("id", F.col("root").alias("comp")), "id"), unit.where("id = flow_cluster").select("grp", "id", "coords").join(unit.groupBy(F.col("flow_cluster").alias("id")).agg(F.count("*").alias("weight")), "id"))
         if not links.isEmpty():
-            last = connected_groups(links).select(F.col("node").alias("root"), F.col("root").alias("whole"))
-            flow = flow.join(last, "root", "left").withColumn("root", F.coalesce("whole", "root")).drop("whole")
-    else:
-        flow = pts.select("id", "grp", "outlier").join(flow, "id", "left").withColumn("flow_cluster", F.coalesce("flow_cluster", "id")).withColumn("root", F.col("flow_cluster"))
-    flow = work.write(flow.fillna(0.0, ["inflow"]))
-    names = flow.groupBy("root").agg(F.min("id").alias("cluster_id"), F.count("*").alias("size"))
-    return flow.join(names, "root").select("id", "grp", "cluster_id", "flow_cluster", "inflow", "size", "outlier")
+            named = work.write(_joined(named, connected_groups(links)))
+    whose = nodes.select(F.col("id").alias("node"), "grp", "coords").join(named.withColumnRenamed("id", "node"), "node")
+    every = work.write(pts.select("id", "grp", "coords", "outlier").join(whose, ["grp", "coords"]).select("id", "grp", "root", "flow_cluster", "inflow", "outlier"))
+    names = every.groupBy("root").agg(F.min("id").alias("cluster_id"), F.count("*").alias("size"))
+    return every.join(names, "root").select("id", "grp", "cluster_id", "flow_cluster", "inflow", "size", "outlier")
+
+
+def _joined(named: DataFrame, groups: DataFrame) -> DataFrame:
+    """Roots replaced by those of the groups they are in."""
+    to = groups.select(F.col("node").alias("root"), F.col("root").alias("whole"))
+    return named.join(to, "root", "left").select("id", "flow_cluster", "inflow", F.coalesce("whole", "root").alias("root"))
 
 
 def describe_clusters(members: DataFrame, typical: int = 3) -> DataFrame:
-    """``(grp, cluster_id, size, is_stray, typical)``: size and the ids of the strongest flow of each cluster, ties by smaller id."""
+    """``(grp, cluster_id, size, units, is_stray, typical)``: size, number of flow units joined, and the ids of the strongest flow of each cluster, ties by smaller id."""
     w = Window.partitionBy("cluster_id").orderBy(F.desc("inflow"), "id")
     top = members.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= typical)
-    return top.groupBy("grp", "cluster_id").agg(F.max("size").alias("size"), (F.max("size") <= F.max("outlier")).alias("is_stray"), F.transform(F.array_sort(F.collect_list(F.struct("rn", "id"))), lambda x: x["id"]).alias("typical"))
+    d = top.groupBy("grp", "cluster_id").agg(F.max("size").alias("size"), (F.max("size") <= F.max("outlier")).alias("is_stray"), F.transform(F.array_sort(F.collect_list(F.struct("rn", "id"))), lambda x: x["id"]).alias("typical"))
+    units = members.groupBy("cluster_id", "flow_cluster").agg(F.lit(1).alias("one")).groupBy("cluster_id").agg(F.sum("one").alias("units"))
+    return d.join(units, "cluster_id").select("grp", "cluster_id", "size", "units", "is_stray", "typical")
 
 
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,20 +121,31 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return describe_clusters(flow_clusters(_points(spark, sf_dir))).where("not is_stray").select("grp", "cluster_id", "size", F.concat_ws(",", F.transform("typical", lambda x: x.cast("string"))).alias("typical"))
+    """Clusters with their size and how many of their typical members are members, distinct and of their own dataset (all should be)."""
+    m = Stages(spark, "members").write(flow_clusters(_points(spark, sf_dir)))
+    d = describe_clusters(m).where("not is_stray").select("grp", "cluster_id", "size", F.explode("typical").alias("id"))
+    own = m.select("id", F.col("cluster_id").alias("c"), F.col("grp").alias("g"))
+    return d.join(own, "id", "left").groupBy("grp", "cluster_id", "size").agg(F.countDistinct(F.when((F.col("c") == F.col("cluster_id")) & (F.col("g") == F.col("grp")), F.col("id"))).alias("typical_members"))
+
+
+def p3_typical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters with the flow units joined in them and their most typical members."""
+    d = describe_clusters(Stages(spark, "members").write(flow_clusters(_points(spark, sf_dir))))
+    return d.where("not is_stray").select("grp", "cluster_id", "size", "units", F.concat_ws(",", F.transform("typical", lambda x: x.cast("string"))).alias("typical"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_clusters": p3_clusters}
+QUERIES = {"p3_found": p3_found, "p3_clusters": p3_clusters, "p3_typical": p3_typical}
 
 _POINTS = """p AS (SELECT DISTINCT p.point_id AS id, p.dataset_id AS grp, p.coords, d.merge_square_distance AS lim, d.outlier_size AS outlier FROM points p JOIN datasets d USING (dataset_id)
   WHERE p.coords IS NOT NULL AND len(p.coords) = d.dims AND NOT list_contains(list_transform(p.coords, lambda x: x IS NULL), true))"""
-#: Exact clusters by all pairs, quick at the scale of the comparison.
-SQL = {
-    "p3_found": f"""
+_WALK = f"""
 WITH RECURSIVE {_POINTS},
 e AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON a.grp = b.grp WHERE a.id = b.id OR list_sum(list_transform(list_zip(a.coords, b.coords), lambda z: (z[1] - z[2])::BIGINT * (z[1] - z[2]))) <= a.lim),
 walk(id, c) AS (SELECT id, id FROM p UNION SELECT e.b, w.c FROM walk w JOIN e ON e.a = w.id WHERE w.c < e.b),
 g AS (SELECT id, min(c) AS c FROM walk GROUP BY id), s AS (SELECT c, count(*) AS n FROM g GROUP BY c)
-SELECT g.id AS point_id, g.c AS cluster_id FROM g JOIN s USING (c) JOIN p USING (id) WHERE s.n > p.outlier
 """
+#: Exact clusters by all pairs, quick at the scale of the comparison.
+SQL = {
+    "p3_found": _WALK + "SELECT g.id AS point_id, g.c AS cluster_id FROM g JOIN s USING (c) JOIN p USING (id) WHERE s.n > p.outlier",
+    "p3_clusters": _WALK + "SELECT p.grp, s.c AS cluster_id, s.n AS size, least(3, s.n) AS typical_members FROM s JOIN p ON p.id = s.c WHERE s.n > p.outlier",
 }

@@ -5,11 +5,12 @@ from __future__ import annotations
 import numpy as np
 
 
-def fit_tree(sample: np.ndarray, rows: int, leaf: int, radius: float, seed: int, tries: int = 24) -> list[tuple]:
+def fit_tree(sample: np.ndarray, rows: int, leaf: int, cap: int, radius: float, seed: int, tries: int = 24) -> list[tuple]:
     """Nodes ``(vector, threshold, left, right)`` of a projection tree; children >= 0 are nodes, negative ones leaves -1, -2, ...
 
-    Cuts lie where the fewest sampled points are near the cut, so groups of near points mostly stay together.
-    A part that can't be cut without parting many neighbours stays whole, whatever its size.
+    Cuts lie where the fewest sampled points are near the cut, so groups of near points mostly stay together. A part of at most ``cap`` rows that can't
+    be cut without parting many neighbours stays whole; a larger one is cut at the best place there is. Parts of fewer than 16 sampled points are left
+    to a sample of their own.
     """
     rng, nodes, leaves = np.random.default_rng(seed), [], 0
     width, scale = 0.12 * radius, rows / max(1, len(sample))
@@ -24,15 +25,16 @@ def fit_tree(sample: np.ndarray, rows: int, leaf: int, radius: float, seed: int,
             proj = sample[own] @ u.T
             best = np.inf
             lows = np.quantile(proj, np.linspace(0.1, 0.9, 33), axis=0)
+            most = 0.3 if len(own) * scale <= cap else np.inf
             for t in range(tries):
                 p = np.sort(proj[:, t])
                 mids = lows[:, t]
                 near = (np.searchsorted(p, mids + width) - np.searchsorted(p, mids - width)) / len(p)
-                left = np.searchsorted(p, mids) / len(p)
+                left = np.searchsorted(p, mids, side="right") / len(p)
                 cost = near / np.minimum(left, 1 - left).clip(1e-9)
                 cost[np.minimum(left, 1 - left) < 0.08] = np.inf
                 i = int(np.argmin(cost))
-                if cost[i] < best and near[i] < 0.3:
+                if cost[i] < best and near[i] < most:
                     best, cut = cost[i], (t, mids[i])
         if cut is None:
             leaves += 1
@@ -48,23 +50,37 @@ def fit_tree(sample: np.ndarray, rows: int, leaf: int, radius: float, seed: int,
     return [tuple(n) for n in nodes]
 
 
-def apply_tree(nodes: list[tuple], x: np.ndarray) -> np.ndarray:
-    """Leaf number (from 0) of every row."""
+def apply_tree(nodes: list[tuple], x: np.ndarray, slack: float = -1.0, probes: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Leaf number (from 0) of every row, and visits ``(row, leaf)``: the other side of each cut that lies within ``slack``, for the ``probes`` nearest cuts of a row."""
     at = np.zeros(len(x), np.int32)
+    none = np.zeros(0, np.int64)
     if not nodes:
-        return at
-    todo = [(0, np.arange(len(x)))]
+        return at, none, none
+    todo, met = [(0, np.arange(len(x)), None)], []
     while todo:
-        k, own = todo.pop()
+        k, own, far = todo.pop()
         if not len(own):
             continue
         if k < 0:
-            at[own] = -k - 1
+            if far is None:
+                at[own] = -k - 1
+            else:
+                met.append((own, np.full(len(own), -k - 1), far))
             continue
         vector, thr, left, right = nodes[k]
-        go = x[own] @ np.asarray(vector, np.float32) <= thr
-        todo += [(left, own[go]), (right, own[~go])]
-    return at
+        off = x[own] @ np.asarray(vector, np.float32) - thr
+        go = off <= 0
+        todo += [(left, own[go], None if far is None else far[go]), (right, own[~go], None if far is None else far[~go])]
+        if far is None and slack >= 0:
+            near = np.abs(off) <= slack
+            todo += [(right, own[near & go], -off[near & go]), (left, own[near & ~go], off[near & ~go])]
+    if not met:
+        return at, none, none
+    row, leaf, far = (np.concatenate(v) for v in zip(*met, strict=True))
+    o = np.lexsort((leaf, far, row))
+    row, leaf = row[o], leaf[o]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < probes
+    return at, row[keep], leaf[keep].astype(np.int64)
 
 
 def _unique_sorted(ids: np.ndarray, d: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -151,16 +167,17 @@ def robust_prune(x: np.ndarray, own: np.ndarray, ids: np.ndarray, d: np.ndarray,
 
 
 def _both_ways(x: np.ndarray, nbrs: np.ndarray, degree: int, alpha: float) -> np.ndarray:
-    """Add the reverse of every edge; lists that grow too long are pruned again."""
+    """Add the reverse of every edge, nearest first; lists that grow too long are pruned again."""
     n, r = nbrs.shape
     src, dst = np.repeat(np.arange(n, dtype=np.int32), r), nbrs.ravel()
     ok = dst >= 0
     src, dst = src[ok], dst[ok]
-    order = np.argsort(dst, kind="stable")
+    diff = x[src] - x[dst]
+    order = np.lexsort((np.einsum("nd,nd->n", diff, diff), dst))
     src, dst = src[order], dst[order]
     at = np.arange(len(dst)) - np.searchsorted(dst, dst)
-    width = 3 * degree
-    keep = at < width  # edges into a hub beyond this stay one-way: its own list can't hold them, their sources still do
+    width = 2 * degree  # pruning keeps at most ``degree`` and prefers near ones, so it is given the nearest of a hub's many
+    keep = at < width
     back = np.full((n, width), -1, np.int32)
     back[dst[keep], at[keep]] = src[keep]
     ids = np.concatenate([nbrs, back], axis=1)
@@ -174,51 +191,70 @@ def _both_ways(x: np.ndarray, nbrs: np.ndarray, degree: int, alpha: float) -> np
 
 
 def beam_search(x: np.ndarray, nbrs: np.ndarray, q: np.ndarray, start: np.ndarray, beam: int, width: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """Greedy search from ``start`` (rows of ids): expands the nearest unexpanded entries of the beam until none is left."""
+    """Greedy search from ``start`` (rows of ids, -1 for none): expands the nearest unexpanded entries of the beam until none is left. Every row is
+    measured once per query: ``stamp`` notes by which column it was met, which also tells repeats within a step."""
+    n, degree = nbrs.shape
     out_i, out_d = np.full((len(q), beam), -1, np.int32), np.full((len(q), beam), np.inf, x.dtype)
-    degree = nbrs.shape[1]
-    for lo in range(0, len(q), 1024):
-        qq, s = q[lo : lo + 1024], start[lo : lo + 1024]
-        d = np.where(s >= 0, _dist(x, qq, np.maximum(s, 0)), np.inf).astype(x.dtype)
-        ids, d = _unique_sorted(s.astype(np.int32), d, beam)
-        if ids.shape[1] < beam:
-            more = beam - ids.shape[1]
-            ids, d = np.pad(ids, ((0, 0), (0, more)), constant_values=-1), np.pad(d, ((0, 0), (0, more)), constant_values=np.inf)
-        done = ids < 0
-        act = np.arange(len(qq))
-        for _ in range(4 * beam):
-            open_ = np.where(done[act], np.inf, d[act])
-            pick = np.argsort(open_, axis=1)[:, :width]
-            live = np.isfinite(np.take_along_axis(open_, pick, 1))
+    block = int(min(1024, max(64, 16_000_000 // max(1, n))))
+    pick_one = lambda v, o: np.take_along_axis(v, o, 1)
+    for lo in range(0, len(q), block):
+        qq, s = q[lo : lo + block], start[lo : lo + block]
+        b = len(qq)
+        stamp = np.full(b * n, -1, np.int16)
+
+        def meet(row, cand, ok):
+            """First mention of each candidate not met before, with its square distance."""
+            place, col = row[:, None] * n + np.maximum(cand, 0), np.arange(cand.shape[1], dtype=np.int16)[None, :]
+            ok = ok & (cand >= 0) & (stamp[place] < 0)
+            stamp[place[ok]] = np.broadcast_to(col, ok.shape)[ok]
+            i, j = np.nonzero(ok & (stamp[place] == col))
+            ids = cand[i, j]
+            diff = x[ids] - qq[row[i]]
+            return i, ids, np.einsum("nd,nd->n", diff, diff)
+
+        def lists(i, ids, d, rows, least):
+            count = np.bincount(i, minlength=rows)
+            wide = max(least, int(count.max(initial=0)))
+            at = np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
+            ni, nd = np.full((rows, wide), -1, np.int32), np.full((rows, wide), np.inf, x.dtype)
+            ni[i, at], nd[i, at] = ids, d
+            return ni, nd
+
+        act = np.arange(b)
+        ai, ad = lists(*meet(act, s, np.ones(s.shape, bool)), b, beam)
+        if ai.shape[1] > beam:
+            o = np.argpartition(ad, beam - 1, axis=1)[:, :beam]
+            ai, ad = pick_one(ai, o), pick_one(ad, o)
+        an = ai < 0
+        ids, d = ai, ad
+        while True:
+            open_ = np.where(an, np.inf, ad)
+            pick = np.argpartition(open_, width - 1, axis=1)[:, :width]
+            live = np.isfinite(pick_one(open_, pick))
             some = live.any(axis=1)
+            ids[act[~some]], d[act[~some]] = ai[~some], ad[~some]
             if not some.any():
                 break
-            act, pick, live = act[some], pick[some], live[some]
-            node = np.where(live, ids[act[:, None], pick], 0)
-            done[act[:, None], pick] |= live
-            nb = np.where(live[:, :, None], nbrs[node], -1).reshape(len(act), width * degree)
-            nb = np.where((nb[:, :, None] == ids[act][:, None, :]).any(axis=2), -1, nb)
-            nd = np.where(nb >= 0, _dist(x, qq[act], np.maximum(nb, 0)), np.inf).astype(x.dtype)
-            nb = np.where(nd < d[act][:, -1:], nb, -1)
-            nd = np.where(nb >= 0, nd, np.inf)
-            ci, cd, ce = np.concatenate([ids[act], nb], 1), np.concatenate([d[act], nd], 1), np.concatenate([done[act], nb < 0], 1)
-            order = np.argsort(ci, axis=1, kind="stable")
-            ci, cd, ce = (np.take_along_axis(v, order, 1) for v in (ci, cd, ce))
-            again = np.zeros(ci.shape, bool)
-            again[:, 1:] = (ci[:, 1:] == ci[:, :-1]) & (ci[:, 1:] >= 0)
-            cd = np.where(again, np.inf, cd)
-            order = np.argpartition(cd, beam - 1, axis=1)[:, :beam]
-            ci, cd, ce = (np.take_along_axis(v, order, 1) for v in (ci, cd, ce))
-            order = np.argsort(cd, axis=1, kind="stable")
-            ids[act], d[act], done[act] = (np.take_along_axis(v, order, 1) for v in (ci, cd, ce))
-            ids[act] = np.where(np.isinf(d[act]), -1, ids[act])
-            done[act] |= ids[act] < 0
-        out_i[lo : lo + 1024], out_d[lo : lo + 1024] = ids, d
+            act, ai, ad, an, pick, live = act[some], ai[some], ad[some], an[some], pick[some], live[some]
+            k = np.arange(len(act))[:, None]
+            an[k, pick] |= live
+            nb = nbrs[np.where(live, ai[k, pick], 0)].reshape(len(act), -1)
+            i, cand, dist = meet(act, nb, np.repeat(live, degree, axis=1))
+            better = dist < ad.max(axis=1)[i]
+            if better.any():
+                ni, nd = lists(i[better], cand[better], dist[better], len(act), 1)
+                ci, cd, ce = np.concatenate([ai, ni], 1), np.concatenate([ad, nd], 1), np.concatenate([an, ni < 0], 1)
+                o = np.argpartition(cd, beam - 1, axis=1)[:, :beam]
+                ai, ad, an = pick_one(ci, o), pick_one(cd, o), pick_one(ce, o)
+        o = np.argsort(d, axis=1, kind="stable")
+        d = pick_one(d, o)
+        out_i[lo : lo + block], out_d[lo : lo + block] = np.where(np.isinf(d), -1, pick_one(ids, o)), d
     return out_i, out_d
 
 
 def build(x: np.ndarray, degree: int, beam: int, alpha: float, seed: int) -> np.ndarray:
-    """Robust-pruned directed graph over the rows of ``x`` (distinct vectors)."""
+    """Robust-pruned directed graph over the rows of ``x`` (distinct vectors). The first graph, random in the published method, ties rows of small random
+    cells; greedy searches from every row over it then propose the neighbours that relaxed pruning chooses from."""
     rng = np.random.default_rng(seed)
     n = len(x)
     if n == 1:

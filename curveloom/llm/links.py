@@ -61,10 +61,11 @@ def _meet(key: tuple, t: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
 
 
-def cluster_links(points: DataFrame, per: int = PER, cells: int = CELLS, block: int = BLOCK) -> DataFrame:
+def cluster_links(points: DataFrame, centres: DataFrame | None = None, per: int = PER, cells: int = CELLS, block: int = BLOCK) -> DataFrame:
     """``(a, b)``: pairs of clusters of ``points(id, grp, coords, lim, comp)`` that tie all clusters with a step of square length <= ``lim`` between them.
 
-    Exact, across all rows of a group. At most ``cells`` sampled points of a group are pivots; each point is owned by the cell of its nearest one and
+    Exact, across all rows of a group. At most ``cells`` of the ``centres(grp, id, coords, weight)``, the heaviest, are the pivots of a group (sampled points if none
+    are given): with the attractors of flow units a cell holds whole units and has few visitors. Each point is owned by the cell of its nearest one and
     visits each later cell that can hold a point within sqrt(lim) of another cluster, by the cell's radius (without its largest cluster for points
     of that cluster) and by the plane between the pivots. Visitors and owned rows meet in blocks, so no task holds more than two blocks.
     Well parted clusters visit few cells; where everything is within sqrt(lim) of every cell and clusters are many, the work is all pairs.
@@ -76,9 +77,11 @@ def cluster_links(points: DataFrame, per: int = PER, cells: int = CELLS, block:
     sizes = {r.grp: r.n for r in one.groupBy("grp").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").collect()}
     if not sizes:
         return empty
-    w = Window.partitionBy("grp").orderBy(F.xxhash64("id"), "id")
     most = F.broadcast(spark.createDataFrame([(g, int(min(cells, -(-k // per)))) for g, k in sizes.items()], "grp int, most int"))
-    rows = one.select("grp", "id", "coords").join(most, "grp").withColumn("rn", F.row_number().over(w)).where((F.col("rn") <= cells) & (F.col("rn") <= F.col("most"))).collect()
+    if centres is None:
+        centres = one.select("grp", "id", "coords", F.lit(1).alias("weight"))
+    w = Window.partitionBy("grp").orderBy(F.desc("weight"), F.xxhash64("id"), "id")
+    rows = centres.join(most, "grp").withColumn("rn", F.row_number().over(w)).where((F.col("rn") <= cells) & (F.col("rn") <= F.col("most"))).collect()
     pivots, base, total = {}, {}, 0
     for g in sorted(sizes):
         pivots[g] = np.array([r.coords for r in sorted((r for r in rows if r.grp == g), key=lambda r: r.rn)], np.int64)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,13 +11,16 @@ from ..runtime import Stages, small, table
 from ..sources.points import valid_points
 from . import graph as G
 
-#: Bounds of the index fit: rows sampled per group for the shard trees, and rows a shard should hold. At most SAMPLE / 16 leaves per tree.
-SAMPLE, LEAF = 2048, 4096
-#: A part that can't be cut without parting neighbours is dealt out by hash to shards of this many rows; every vector of it queries each.
-CAP = 16_384
-TREES, DEGREE, BEAM, ALPHA = 2, 16, 32, 1.2
+#: Rows sampled of a part for its tree (so at most SAMPLE / 16 leaves a fit), rows a shard should hold, and rows above which a part is always cut.
+SAMPLE, LEAF, CAP = 2048, 4096, 8192
+#: A vector also visits the other side of cuts within SPILL steps over the root of the dimensions (the usual way along one direction), at most PROBES of them a level.
+SPILL, PROBES = 0.7, 2
+#: Numbers of the trees sent to the tasks at once, and most levels of trees.
+TREE_VALUES, LEVELS = 16_000_000, 24
+DEGREE, BEAM, ALPHA = 16, 32, 1.2
 
-_FOUND = "id bigint, nbr bigint, d2 bigint, link boolean"
+_FOUND = "id bigint, nbr bigint, d2 bigint"
+_ROWS = "cell bigint, id bigint, owned boolean, lim bigint, coords array<int>"
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -27,60 +29,112 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
-def shard_trees(points: DataFrame, sample: int = SAMPLE, leaf: int = LEAF, cap: int = CAP, trees: int = TREES) -> dict:
-    """Projection trees per group, fitted by the executors on at most ``sample`` rows each: ``{(grp, tree): (nodes, subs per leaf)}``.
+def step_length(x: np.ndarray, lim: float | None) -> float:
+    """Length of a step within the limit; without a limit the median distance of sampled rows to their nearest one."""
+    if lim is not None:
+        return float(lim) ** 0.5
+    s = x[:512].astype(np.float64)
+    m = np.einsum("nd,nd->n", s, s)
+    d = m[:, None] + m[None, :] - 2 * s @ s.T
+    np.fill_diagonal(d, np.inf)
+    return float(np.sqrt(np.maximum(np.median(d.min(axis=1)), 0))) if len(s) > 1 else 1.0
 
-    The result holds at most ``sample / 16`` nodes of a group and tree, whatever the number of rows.
-    """
-    w = Window.partitionBy("grp").orderBy(F.xxhash64("id"), "id")
-    s = points.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= sample).drop("rn")
-    s = s.join(points.groupBy("grp").agg(F.count("*").alias("n")), "grp")
+
+def _fit(rows: DataFrame, big: DataFrame, sample: int, leaf: int, cap: int, seed: int) -> dict:
+    """A projection tree per cell of ``big(cell, n)``, fitted by the executors on at most ``sample`` rows each: ``{cell: (nodes, leaves, step length)}``."""
+    w = Window.partitionBy("cell").orderBy(F.xxhash64("id"), "id")
+    s = rows.where("owned").withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= sample).join(big, "cell")
 
     def fit(key: tuple, t: pa.Table) -> pa.Table:
         x = _matrix(t["coords"]).astype(np.float32)
-        n, lim = t["n"][0].as_py(), t["lim"][0].as_py()
-        radius = float(lim if lim is not None else 1) ** 0.5
-        rows = []
-        for k in range(trees):
-            nodes = G.fit_tree(x, n, leaf, radius, seed=k * 7919 + 1)
-            share = np.bincount(G.apply_tree(nodes, x), minlength=len(nodes) + 1) * (n / len(x))
-            rows.append({"grp": key[0].as_py(), "tree": k, "vector": [v for node in nodes for v in node[0].tolist()], "threshold": [node[1] for node in nodes], "child": [c for node in nodes for c in node[2:]], "subs": np.ceil(share / cap).clip(1).astype(int).tolist()})
-        return pa.Table.from_pylist(rows, schema=pa.schema([("grp", pa.int32()), ("tree", pa.int32()), ("vector", pa.list_(pa.float32())), ("threshold", pa.list_(pa.float64())), ("child", pa.list_(pa.int32())), ("subs", pa.list_(pa.int32()))]))
+        length = step_length(x, t["lim"][0].as_py())
+        nodes = G.fit_tree(x, t["n"][0].as_py(), leaf, cap, length, seed)
+        row = {"cell": key[0].as_py(), "length": length, "vector": [v for node in nodes for v in node[0].tolist()], "threshold": [node[1] for node in nodes], "child": [c for node in nodes for c in node[2:]]}
+        return pa.Table.from_pylist([row], schema=pa.schema([("cell", pa.int64()), ("length", pa.float64()), ("vector", pa.list_(pa.float32())), ("threshold", pa.list_(pa.float64())), ("child", pa.list_(pa.int32()))]))
 
     out = {}
-    for r in s.groupBy("grp").applyInArrow(fit, "grp int, tree int, vector array<float>, threshold array<double>, child array<int>, subs array<int>").collect():
+    for r in s.groupBy("cell").applyInArrow(fit, "cell bigint, length double, vector array<float>, threshold array<double>, child array<int>").collect():
         m = len(r.threshold)
         v = np.array(r.vector, np.float32).reshape(m, -1) if m else np.zeros((0, 0), np.float32)
-        out[r.grp, r.tree] = ([(v[i], r.threshold[i], r.child[2 * i], r.child[2 * i + 1]) for i in range(m)], r.subs)
+        out[r.cell] = ([(v[i], r.threshold[i], r.child[2 * i], r.child[2 * i + 1]) for i in range(m)], m + 1, r.length)
     return out
 
 
-def _shards(points: DataFrame, fitted: dict, trees: int) -> DataFrame:
-    """A row per point and tree in its shard; in a leaf dealt out by hash also one, not ``owned``, in each other shard of the leaf."""
-    given = points.sparkSession.sparkContext.broadcast(fitted)
-    schema = pa.schema([("shard", pa.int64()), ("id", pa.int64()), ("owned", pa.bool_()), ("lim", pa.int64()), ("coords", pa.list_(pa.int32()))])
+def _place(rows: DataFrame, fitted: dict, base: dict, spill: float, probes: int) -> DataFrame:
+    """Rows in the leaves of their cell's tree, owned by one and visiting those across near cuts; rows of other cells stay."""
+    given = rows.sparkSession.sparkContext.broadcast((fitted, base))
+    schema = pa.schema([("cell", pa.int64()), ("id", pa.int64()), ("owned", pa.bool_()), ("lim", pa.int64()), ("coords", pa.list_(pa.int32()))])
 
     def place(batches):
+        fitted, base = given.value
         for b in batches:
             if not b.num_rows:
                 continue
-            grp, ids = b["grp"].to_numpy(zero_copy_only=False), b["id"].to_numpy(zero_copy_only=False)
-            for g in np.unique(grp):
-                own = np.nonzero(grp == g)[0]
-                x = _matrix(b["coords"].take(pa.array(own))).astype(np.float32)
-                for t in range(trees):
-                    nodes, subs = given.value[int(g), t]
-                    leaf = G.apply_tree(nodes, x)
-                    m = np.asarray(subs)[leaf]
-                    home = (ids[own] * 2654435761 % 4294967296) % m
-                    for s in range(int(m.max())):
-                        has = np.nonzero(m > s)[0]
-                        at = pa.array(own[has])
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(((int(g) * 64 + t) * 100_003 + leaf[has].astype(np.int64)) * 10_007 + s), b["id"].take(at), pa.array(home[has] == s), b["lim"].take(at), b["coords"].take(at)], schema=schema
-                        )
-
-    return points.select("grp", "id", "lim", F.col("coords").cast("array<int>").alias("coords")).mapInArrow(place, "shard bigint, id bigint, owned boolean, lim bigint, coords array<int>")
+            cell, owned = b["cell"].to_numpy(zero_copy_only=False), b["owned"].to_numpy(zero_copy_only=False)
+            for c in np.unique(cell):
+                own = np.nonzero(cell == c)[0]
+                if int(c) not in fitted:
+                    yield pa.RecordBatch.from_arrays([b[n].take(pa.array(own)) for n in schema.names], schema=schema)
+                    continue
+                nodes, _, length = fitted[int(c)]
+                for part, visits in ((own[owned[own]], probes), (own[~owned[own]], 0)):
+                    if not len(part):
+                        continue
+                    x = _matrix(b["coords"].take(pa.array(part))).astype(np.float32)
+                    leaf, row, other = G.apply_tree(nodes, x, spill * length / x.shape[1] ** 0.5 if visits else -1.0, visits)
+                    at = np.concatenate([part, part[row]])
+                    to = base[int(c)] + np.concatenate([leaf.astype(np.int64), other])
+                    mine = np.concatenate([owned[part], np.zeros(len(row), bool)])
+                    pick = pa.array(at)
+                    yield pa.RecordBatch.from_arrays([pa.array(to), b["id"].take(pick), pa.array(mine), b["lim"].take(pick), b["coords"].take(pick)], schema=schema)
+
+    return rows.select("cell", "id", "owned", "lim", "coords").mapInArrow(place, _ROWS)
+
+
+def shards(points: DataFrame, leaf: int = LEAF, cap: int = CAP, sample: int = SAMPLE, spill: float = SPILL, probes: int = PROBES, values: int = TREE_VALUES) -> tuple[DataFrame, int]:
+    """``(cell, id, owned, lim, coords)`` of all points in shards of near vectors, and the number of shards.
+
+    Every part above ``cap`` rows is cut by a tree fitted on its own sample, again and again until none is left, so the leaves follow the number of rows
+    and so does the work: each level reads and writes every open row once. Each vector is owned by one shard; it visits at most ``probes`` others a level, those across
+    cuts within ``spill`` / sqrt(dims) steps, and a visit makes no further ones. Only trees of at most ``values`` numbers are sent to the tasks at once; more cells are done in passes.
+    """
+    spark = points.sparkSession
+    work = Stages(spark, "shards")
+    rows = points.select((F.col("grp").cast("long") - F.lit(1 << 40)).alias("cell"), "id", F.lit(True).alias("owned"), "lim", F.col("coords").cast("array<int>").alias("coords"))
+    closed, count, base = [], 0, 0
+    for level in range(LEVELS):
+        sizes = work.write(rows.where("owned").groupBy("cell").agg(F.count("*").alias("n"), F.max(F.size("coords")).alias("dims")))
+        s = sizes.agg(F.count("*").alias("cells"), F.count_if(F.col("n") > cap).alias("big"), F.max("dims").alias("dims")).first()
+        count += s.cells - s.big
+        if not s.big:
+            closed.append(rows)
+            break
+        passes = max(1, -(-s.big * (sample // 16) * s.dims // values))
+        open_ = []
+        for p in range(passes):
+            mine = F.pmod(F.xxhash64("cell"), F.lit(passes)) == p
+            big = small(sizes.where((F.col("n") > cap) & mine).select("cell", "n"), s.big)
+            fitted = _fit(rows.where(mine) if passes > 1 else rows, big, sample, leaf, cap, seed=level * 7919 + 1)
+            if not fitted:
+                closed.append(rows.where(mine))
+                continue
+            first = {}
+            for c in sorted(fitted):
+                first[c], base = base, base + fitted[c][1]
+            # cells of this level keep their numbers, cut ones get numbers from here on
+            placed = work.write(_place(rows.where(mine) if passes > 1 else rows, fitted, first, spill, probes))
+            low = min(first.values())
+            closed.append(placed.where(F.col("cell") < low))
+            open_.append(placed.where(F.col("cell") >= low))
+        rows = open_[0]
+        for o in open_[1:]:
+            rows = rows.unionByName(o)
+    else:
+        raise RuntimeError("a part of the vectors can't be cut")
+    out = closed[0]
+    for c in closed[1:]:
+        out = out.unionByName(c)
+    return out, count
 
 
 def _local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -96,34 +150,9 @@ def _local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
-def _links(x: np.ndarray, root: np.ndarray, lim: float) -> tuple[list, list, list]:
-    """One step of square length <= lim for each two local components that have one. Rows of the largest component are only compared to, by blocks."""
-    names, root, sizes = np.unique(root, return_inverse=True, return_counts=True)
-    rows = np.nonzero(root != np.argmax(sizes))[0]
-    m = np.einsum("nd,nd->n", x, x)
-    slack = 8 * float(np.finfo(x.dtype).eps) * float(m.max(initial=0)) + 1
-    seen, out = set(), ([], [], [])
-    for lo in range(0, len(rows), 1024):
-        r = rows[lo : lo + 1024]
-        near = m[r][:, None] + m[None, :] - 2 * (x[r] @ x.T) <= lim * 1.001 + slack
-        near &= root[r][:, None] != root[None, :]
-        i, j = np.nonzero(near)
-        if not len(i):
-            continue
-        i = r[i]
-        d = np.square(x[i].astype(np.float64) - x[j]).sum(axis=1)
-        i, j, d = i[d <= lim], j[d <= lim], d[d <= lim]
-        pair = np.minimum(root[i], root[j]).astype(np.int64) * len(names) + np.maximum(root[i], root[j])
-        for at in np.unique(pair, return_index=True)[1]:
-            if pair[at] not in seen:
-                seen.add(pair[at])
-                out[0].append(i[at]), out[1].append(j[at]), out[2].append(d[at])
-    return out
-
-
-def _search(k: int, degree: int, beam: int, alpha: float, links: bool):
+def _search(k: int, degree: int, beam: int, alpha: float):
     def search(t: pa.Table) -> pa.Table:
-        empty = pa.table({"id": pa.array([], pa.int64()), "nbr": pa.array([], pa.int64()), "d2": pa.array([], pa.int64()), "link": pa.array([], pa.bool_())})
+        empty = pa.table({"id": pa.array([], pa.int64()), "nbr": pa.array([], pa.int64()), "d2": pa.array([], pa.int64())})
         t = t.sort_by("id")
         ids, owned, lim = t["id"].to_numpy(), t["owned"].to_numpy(zero_copy_only=False), t["lim"].to_pandas().fillna(np.inf).to_numpy(np.float64)
         raw = _matrix(t["coords"])
@@ -164,48 +193,36 @@ def _search(k: int, degree: int, beam: int, alpha: float, links: bool):
                 ok = np.isfinite(cd) & (cd <= lim[p][:, None])
                 out.append((np.repeat(ids[p], ok.sum(axis=1)), ci[ok], cd[ok]))
         a, b, d = (np.concatenate(v) for v in zip(*out, strict=True))
-        link = np.zeros(len(a), bool)
-        if links and np.isfinite(lim[0]):
-            pos = np.full(len(ids), -1)
-            pos[np.nonzero(owned)[0]] = cls
-            ia, ib = np.searchsorted(ids, a), np.searchsorted(ids, b)
-            both = owned[ia] & owned[ib]
-            root = _local_roots(len(u), pos[ia[both]], pos[ib[both]])
-            la, lb, ld = _links(u, root, float(lim[0]))
-            if la:
-                a, b, d = np.concatenate([a, mem[la, 0]]), np.concatenate([b, mem[lb, 0]]), np.concatenate([d, ld])
-                link = np.concatenate([link, np.ones(len(la), bool)])
-        return pa.table({"id": a, "nbr": b, "d2": d.astype(np.int64), "link": link})
+        return pa.table({"id": a, "nbr": b, "d2": d.astype(np.int64)})
 
     return search
 
 
-def nearest_vectors(points: DataFrame, k: int = 5, links: bool = False, trees: int = TREES, leaf: int = LEAF, sample: int = SAMPLE, cap: int = CAP, degree: int = DEGREE, beam: int = BEAM) -> tuple[DataFrame, DataFrame]:
-    """The k nearest vectors of each vector of its group: ``(id, nbr, d2, link)`` with ``d2 <= lim``, and the copies left aside.
+def nearest_vectors(points: DataFrame, k: int = 5, distinct: bool = False, leaf: int = LEAF, cap: int = CAP, sample: int = SAMPLE, spill: float = SPILL, probes: int = PROBES, degree: int = DEGREE, beam: int = BEAM) -> tuple[DataFrame, DataFrame]:
+    """The k nearest vectors of each vector of its group: ``(id, nbr, d2)`` with ``d2 <= lim``, and the copies left aside.
 
     ``points(id, grp, coords, lim)``, one row per id, vectors of a group of one length; ``lim`` null sets no limit. Square distances are exact,
-    ties go by smaller id. Every vector is indexed and queried. Two or more independent trees deal each group into shards of near vectors; in
-    each shard a directed graph is grown by greedy search and relaxed pruning, and beam search queries it. Parts no tree can cut are dealt out by
-    hash, and every vector of them queries each shard. Loss comes from neighbours parted by every tree and from the beam.
+    ties go by smaller id. Every vector is indexed and queried: :func:`shards` deals each group into shards of near vectors, in each shard a directed
+    graph is grown by greedy search and relaxed pruning, and beam search queries it for the vectors it owns and those that visit it. Loss comes from
+    neighbours across cuts a vector doesn't visit and from the beam.
     Of vectors with more than ``k + 1`` exact copies only the ``k + 1`` smallest ids enter the graph; the second result ``(id, grp, coords)`` holds
-    the others, whose neighbours are the k smallest copies: no group of copies is gathered in one task. With ``links`` rows marked ``link`` are
-    added, one witness of a step within ``lim`` between parts of a shard that the k nearest don't tie.
+    the others, whose neighbours are the k smallest copies: no group of copies is gathered in one task. ``distinct`` says that there are no copies.
     """
     spark = points.sparkSession
     work = Stages(spark, "nearest")
-    pts = work.write(points.select("id", "grp", "coords", "lim"))
-    w = Window.partitionBy("grp", "coords").orderBy("id")
-    heads = work.write(pts.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k + 1).drop("rn"))
-    n, m = pts.count(), heads.count()
-    rest = pts.join(heads.select("id"), "id", "left_anti").select("id", "grp", "coords") if n > m else pts.select("id", "grp", "coords").where("false")
-    if not m:
-        return spark.createDataFrame([], _FOUND), rest
-    fitted = shard_trees(heads, sample, leaf, cap, trees)
-    parts = max(8, min(20_000, sum(sum(subs) for _, subs in fitted.values())))
-    found = _shards(heads, fitted, trees).repartition(parts, "shard").groupBy("shard").applyInArrow(_search(k, degree, beam, ALPHA, links), _FOUND)
+    pts = heads = points.select("id", "grp", "coords", "lim")
+    rest = pts.select("id", "grp", "coords").where("false")
+    if not distinct:
+        pts = work.write(pts)
+        w = Window.partitionBy("grp", "coords").orderBy("id")
+        heads = work.write(pts.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k + 1).drop("rn"))
+        if pts.count() > heads.count():
+            rest = pts.join(heads.select("id"), "id", "left_anti").select("id", "grp", "coords")
+    cells, n = shards(heads, leaf, cap, sample, spill, probes)
+    found = cells.repartition(max(8, min(20_000, 2 * n)), "cell").groupBy("cell").applyInArrow(_search(k, degree, beam, ALPHA), _FOUND)
     found = work.write(found)
-    best = found.where("not link").groupBy("id").agg(F.slice(F.array_sort(F.collect_set(F.struct("d2", "nbr"))), 1, k).alias("b")).select("id", F.explode("b").alias("b")).select("id", "b.nbr", "b.d2", F.lit(False).alias("link"))
-    return (best.unionByName(found.where("link").select("id", "nbr", "d2", "link")) if links else best), rest
+    best = found.groupBy("id").agg(F.slice(F.array_sort(F.collect_set(F.struct("d2", "nbr"))), 1, k).alias("b")).select("id", F.explode("b").alias("b")).select("id", "b.nbr", "b.d2")
+    return best, rest
 
 
 def copy_neighbours(points: DataFrame, rest: DataFrame, k: int = 5) -> DataFrame:
