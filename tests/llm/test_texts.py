@@ -45,6 +45,48 @@ def test_edited_passage_is_reported(spark):
     assert [(r.doc_id, r.item_id) for r in rows] == [(1, 1)]
 
 
+def _english(rng, n):
+    """Words drawn with very uneven frequencies, so that grams are shared by many passages."""
+    words = ["the", "of", "and", "to", "in", "that", "was", "government", "national"] + ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(4, 10))) for _ in range(3000)]
+    p = 1 / np.arange(1, len(words) + 1)
+    return [str(w) for w in rng.choice(words, n, p=p / p.sum())]
+
+
+def test_every_edited_run_is_found():
+    """Runs of at least twelve words with a character left out, put in or changed."""
+    rng = np.random.default_rng(5)
+    items = [(i, " ".join(_english(rng, 30))) for i in range(150)]
+    index, docs = L.PassageIndex(items, L.WORDS, L.Q), []
+    for i, p in items:
+        w = p.split(" ")
+        k = int(rng.integers(0, 15))
+        run = list(" ".join(w[k : k + 14]))
+        at = int(rng.integers(1, len(run) - 1))
+        run[at : at + int(rng.integers(0, 2))] = ["", "z", "q"][i % 3]
+        docs.append(L.words_of(" ".join([*_english(rng, 40), "".join(run), *_english(rng, 40)])))
+    d, item, _, _ = L.find_regions(index, docs, L.EDITS, L.COST)
+    assert {(i, i) for i in range(150)} <= {(int(a), index.ids[b]) for a, b in zip(d, item, strict=True)}
+
+
+def test_work_does_not_follow_the_passages():
+    rng = np.random.default_rng(6)
+    text = _english(rng, 4000 * 40)
+    items = [(i, " ".join(text[i * 40 : i * 40 + 40])) for i in range(4000)]
+    docs = [L.words_of(" ".join(_english(rng, 60))) for _ in range(100)]
+    off = np.concatenate([[0], np.cumsum([len(L._codes(w)) for w in docs])])
+    g = L._grams(np.concatenate([L._codes(w) for w in docs]), L.Q)
+    _, many = (len(L._candidates(L.PassageIndex(items[:n], L.WORDS, L.Q, L.EDITS, docs), g, off, 2)) for n in (250, 4000))
+    assert many <= 100 * 60  # about a band a word, where every gram of these texts has many places in the passages
+
+
+def test_longest_run():
+    rng = np.random.default_rng(7)
+    for _ in range(50):
+        a, p = rng.integers(-1, 4, int(rng.integers(0, 30))), rng.integers(0, 4, int(rng.integers(1, 20)))
+        want = max([n for i in range(len(a)) for j in range(len(p)) for n in range(1, 30) if i + n <= len(a) and j + n <= len(p) and (a[i : i + n] == p[j : j + n]).all()], default=0)
+        assert L.longest_run(a, p) == want
+
+
 def test_words():
     assert L.words_of("Ｆｕｌｌ é­​b_c ﬁne 2²") == ["full", "éb", "c", "fine", "22"]
 
