@@ -195,7 +195,7 @@ def beam_search(x: np.ndarray, nbrs: np.ndarray, q: np.ndarray, start: np.ndarra
     measured once per query: ``stamp`` notes by which column it was met, which also tells repeats within a step."""
     n, degree = nbrs.shape
     out_i, out_d = np.full((len(q), beam), -1, np.int32), np.full((len(q), beam), np.inf, x.dtype)
-    block = int(min(1024, max(64, 16_000_000 // max(1, n))))
+    block = int(min(512, max(64, 8_000_000 // max(1, n))))
     pick_one = lambda v, o: np.take_along_axis(v, o, 1)
     for lo in range(0, len(q), block):
         qq, s = q[lo : lo + block], start[lo : lo + block]

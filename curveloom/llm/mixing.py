@@ -8,18 +8,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..runtime import Stages, table
+from ..runtime import Stages, small, table
 
 #: Ranks of a public byte-level tokenizer; the path is a parameter of every function here.
 RANKS = os.environ.get("CURVELOOM_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: Its published split pattern (fixed value).
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Blocks a source is dealt into, shards of the output, and the seed of all draws.
-BLOCKS, SHARDS, SEED = 1024, 16, 7
+#: Fewest output shards, tokens a shard should hold beyond that, blocks of the mixture to a shard, and the seed of all draws.
+SHARDS, SHARD_TOKENS, PER_SHARD, SEED = 16, 250_000_000, 32, 7
 
 _ENCODERS: dict = {}
 
@@ -90,50 +91,66 @@ def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def mixture(sized: DataFrame, targets: DataFrame, shards: int = SHARDS, blocks: int = BLOCKS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """The plan of :func:`mixture_plan` and the mixture ``(shard, place, doc_id, source, tokens, copy)``.
+def mixture(sized: DataFrame, targets: DataFrame, shards: int | None = None, shard_tokens: int = SHARD_TOKENS, per_shard: int = PER_SHARD, seed: int = SEED) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The plan of :func:`mixture_plan`, the mixture ``(shard, place, doc_id, source, tokens, copy, block)`` and the quotas ``(source, shard, blocks)`` dealt.
 
-    Each source is dealt into ``blocks`` blocks by a hash of the document; copy c of a source (c < max_repeats) is one pass over its blocks in
-    their own random order, the last pass up to the quota. Within the block that crosses the quota documents are taken in hash order until it
+    The number of shards follows the tokens of the mixture (``shard_tokens`` each, at least ``SHARDS``) unless given; a shard is one partition. All sources are
+    dealt by a hash of the document into blocks of about the same size, ``per_shard`` of them to a shard; copy c of a source (c < max_repeats) is one pass over its
+    blocks in their own random order, the last pass up to the quota. Within the block that crosses the quota documents are taken in hash order until it
     is reached, so a source misses its quota by less than a document. No document is in a copy twice, hence used at most max_repeats times. The
     splitting tree deals the block quotas to output shards; the permuted blocks are cut accordingly, and each shard is shuffled by itself.
-    Only block sizes (sources x blocks numbers) reach the driver. Documents without tokens weigh nothing and follow their block.
+    Only block sizes reach the driver: ``per_shard`` numbers a shard. Documents without tokens weigh nothing and follow their block. Nothing to mix gives empty results.
     """
     spark = sized.sparkSession
     work = Stages(spark, "mixture")
-    plan = mixture_plan(sized, targets)
-    blocked = work.write(sized.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(blocks)).cast("int")))
+    plan = work.write(mixture_plan(sized, targets))
+    rows = plan.select("source", "planned", "own").orderBy("source").toPandas()  # a row per source
+    total = float(rows.planned.sum()) if len(rows) else 0.0
+    shards = shards or max(SHARDS, int(-(-total // shard_tokens)))
+    size = max(1.0, total / (shards * per_shard))
+    blocks = spark.createDataFrame([(r.source, max(1, round(r.own / size))) for r in rows.itertuples()], "source string, blocks int")
+    blocked = work.write(sized.join(F.broadcast(blocks), "source").withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("blocks")).cast("int")).drop("blocks"))
     sizes = blocked.groupBy("source", "block").agg(F.sum("tokens").alias("tokens")).toPandas()
-    rows = plan.select("source", "planned", "own").toPandas()
-    names = sorted(rows.source)
     rng = np.random.default_rng(seed)
-    uses = []  # source, block, copy, tokens to take (-1: all), in the order drawn
-    quotas = []
-    for name in names:
-        want, own = rows.loc[rows.source == name, ["planned", "own"]].iloc[0]
-        s = sizes[sizes.source == name].sort_values("block")
-        mine, copy = [], 0
-        while want > 0.5 and own > 0:
+    uses, quotas = [], []  # of a source: block, copy and tokens to take (-1: all) in the order drawn, and their number
+    for r in rows.itertuples():
+        s = sizes[sizes.source == r.source].sort_values("block")
+        block, tokens, want, copy, mine = s.block.to_numpy(np.int64), s.tokens.to_numpy(np.int64), r.planned, 0, [np.zeros((3, 0), np.int64)]
+        while want > 0.5 and r.own > 0:
             order = rng.permutation(len(s))
-            for b, n in zip(s.block.to_numpy()[order], s.tokens.to_numpy()[order], strict=True):
-                if want <= 0.5:
-                    break
-                mine.append((name, int(b), copy, -1 if n <= want else int(want)))
-                want -= min(n, want)
-            copy += 1
-        quotas.append(len(mine))
-        uses.append(mine)
-    dealt = split_quotas(np.array(quotas), shards, seed + 1) if names else np.zeros((shards, 0), np.int64)
-    cut = [(*u, int(sh)) for i, mine in enumerate(uses) for u, sh in zip((mine[j] for j in rng.permutation(len(mine))), np.repeat(np.arange(shards), dealt[:, i]), strict=True)]
-    picks = spark.createDataFrame(cut, "source string, block int, copy int, take long, shard int")
-    picks = F.broadcast(picks)  # at most sources x blocks x repeats rows, whatever the corpus
-    j = blocked.join(picks, ["source", "block"])
+            upto = np.cumsum(tokens[order])
+            n = min(len(order), int(np.searchsorted(upto, want - 0.5)) + 1)
+            take = np.where(upto[:n] <= want, -1, int(want) - np.concatenate([[0], upto])[:n])
+            mine.append(np.stack([block[order[:n]], np.full(n, copy), take]))
+            want, copy = want - min(want, upto[-1]), copy + 1
+        uses.append(np.concatenate(mine, axis=1))
+        quotas.append(uses[-1].shape[1])
+    dealt = split_quotas(np.array(quotas, np.int64), shards, seed + 1)
+    picks = [np.zeros((4, 0), np.int64)] + [np.concatenate([u[:, rng.permutation(u.shape[1])], np.repeat(np.arange(shards), dealt[:, i])[None]]) for i, u in enumerate(uses)]
+    block, copy, take, shard = np.concatenate(picks, axis=1)
+    names = pa.array(np.repeat(rows.source.to_numpy(object), quotas) if len(rows) else [], pa.string())
+    cut = spark.createDataFrame(pa.table({"source": names, "block": pa.array(block, pa.int32()), "copy": pa.array(copy, pa.int32()), "take": pa.array(take, pa.int64()), "shard": pa.array(shard, pa.int32())}))
+    j = blocked.join(small(cut, len(take)), ["source", "block"])
     w = Window.partitionBy("source", "block", "copy").orderBy(F.xxhash64("doc_id", F.lit(seed + 2)), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     whole = j.where("take < 0")
     part = j.where("take >= 0").withColumn("before", F.sum("tokens").over(w) - F.col("tokens")).where("before + tokens / 2 <= take").drop("before")  # one block a source
-    out = whole.unionByName(part)
     place = F.xxhash64("doc_id", "copy", F.lit(seed + 3)).alias("place")
-    return plan, out.select("shard", place, "doc_id", "source", "tokens", "copy").repartition(shards, "shard").sortWithinPartitions("shard", "place", "doc_id")
+    out = whole.unionByName(part).select("shard", place, "doc_id", "source", "tokens", "copy", "block")
+    i, k = np.nonzero(dealt.T)
+    given = spark.createDataFrame(pa.table({"source": pa.array(rows.source.to_numpy(object)[i] if len(rows) else [], pa.string()), "shard": pa.array(k, pa.int32()), "blocks": pa.array(dealt.T[i, k], pa.int64())}))
+    return plan, out.repartitionById(shards, F.col("shard")).sortWithinPartitions("place", "doc_id", "copy"), given
+
+
+def mixture_report(plan: DataFrame, mixed: DataFrame, dealt: DataFrame) -> DataFrame:
+    """The plan with what the mixture really holds of each source: tokens ``used``, its ``share``, most ``uses`` of a document, whether it ``reaches`` the planned tokens
+    to within a document, and whether the shards hold the blocks ``dealt`` by the tree (but for a last block cut to nothing)."""
+    docs = mixed.groupBy("source", "doc_id").agg(F.sum("tokens").alias("used"), F.count("*").alias("uses"), F.max("tokens").alias("longest"))
+    used = docs.groupBy("source").agg(F.sum("used").alias("used"), F.max("uses").alias("uses"), F.max("longest").alias("longest"))
+    held = mixed.select("source", "shard", "block", "copy").distinct().groupBy("source", "shard").agg(F.count("*").alias("held"))
+    off = dealt.join(held, ["source", "shard"], "full").groupBy("source").agg(F.sum(F.abs(F.coalesce("blocks", F.lit(0)) - F.coalesce("held", F.lit(0)))).alias("off"))
+    total = used.agg(F.sum("used").alias("mixed"))  # one row
+    r = plan.join(used, "source", "left").join(off, "source", "left").fillna(0, ["used", "uses", "longest", "off"]).crossJoin(total)
+    return r.withColumn("share", F.col("used") / F.col("mixed")).withColumn("reaches", F.abs(F.col("used") - F.col("planned")) <= F.greatest("longest", F.lit(1))).withColumn("dealt", F.col("off") <= 1)
 
 
 def _sized(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -141,32 +158,37 @@ def _sized(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return Stages(spark, "sized").write(sized_documents(table(spark, sf_dir, "documents"), targets)), targets
 
 
-def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources that the mixture can't give their share: they come out of the mixture's own report."""
+def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized, targets = _sized(spark, sf_dir)
-    plan, mixed = mixture(sized, targets)
-    used = mixed.groupBy("source").agg(F.sum("tokens").alias("used"))
-    return plan.join(used, "source", "left").where("falls_short and coalesce(used, 0) <= most").select("source")
+    plan, mixed, dealt = mixture(sized, targets)
+    return mixture_report(plan, Stages(spark, "mixed").write(mixed), dealt)
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources whose share the mixture doesn't hold although it holds every document of them as often as it may."""
+    return _report(spark, sf_dir).where("used < wanted and used >= most").select("source")
 
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target and actual share of each source, and the largest number of uses of a document."""
-    sized, targets = _sized(spark, sf_dir)
-    plan, mixed = mixture(sized, targets)
-    used = mixed.groupBy("source").agg(F.sum("tokens").alias("used"), F.max("copy").alias("last"))
-    total = used.agg(F.sum("used").alias("mixed"))
-    return plan.join(used, "source", "left").crossJoin(total).select("source", "target_weight", (F.coalesce("used", F.lit(0)) / F.col("mixed")).alias("share"), "own", F.coalesce("used", F.lit(0)).alias("used"), (F.coalesce("last", F.lit(-1)) + 1).alias("uses"), "max_repeats", "falls_short")
+    return _report(spark, sf_dir).select("source", "target_weight", "share", "own", "used", "uses", "max_repeats", "falls_short")
+
+
+def p7_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each source reaches its planned tokens, no document of it is used too often, and the shards hold what the tree dealt them."""
+    return _report(spark, sf_dir).select("source", "reaches", (F.col("uses") <= F.col("max_repeats")).alias("within_repeats"), "dealt")
 
 
 def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized, targets = _sized(spark, sf_dir)
-    return mixture(sized, targets)[1]
+    return mixture(sized, targets)[1].drop("block")
 
 
-QUERIES = {"p7_found": p7_found, "p7_shares": p7_shares, "p7_mixture": p7_mixture}
+QUERIES = {"p7_found": p7_found, "p7_shares": p7_shares, "p7_checks": p7_checks, "p7_mixture": p7_mixture}
 #: Any public tokenizer gives the same sources; SQL counts words and marks.
 SQL = {
     "p7_found": r"""WITH d AS (SELECT m.source, m.target_weight, m.max_repeats, len(regexp_extract_all(d.text, '\w+|[^\w\s]')) AS n FROM documents d JOIN mix_targets m ON lower(trim(d.source)) = lower(trim(m.source))),
 o AS (SELECT source, sum(n) AS own FROM d GROUP BY source)
-SELECT m.source FROM mix_targets m LEFT JOIN o USING (source) WHERE m.target_weight * (SELECT sum(own) FROM o) > m.max_repeats * coalesce(own, 0)"""
+SELECT m.source FROM mix_targets m LEFT JOIN o USING (source) WHERE m.target_weight * (SELECT sum(own) FROM o) > m.max_repeats * coalesce(own, 0)""",
+    "p7_checks": "SELECT source, true AS reaches, true AS within_repeats, true AS dealt FROM mix_targets",
 }

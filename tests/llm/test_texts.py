@@ -102,14 +102,21 @@ def test_mixture(spark):
     rows = [(i, s, int(n)) for i, (s, n) in enumerate([("a", 10)] * 300 + [("b", 7)] * 40 + [("c", 0)] * 5 + [("d", 500)])]
     sized = spark.createDataFrame(rows, "doc_id bigint, source string, tokens bigint")
     targets = spark.createDataFrame([("a", 0.3, 2), ("b", 0.1, 3), ("c", 0.1, 2), ("d", 0.2, 1), ("e", 0.3, 4)], "source string, target_weight double, max_repeats int")
-    plan, mixed = M.mixture(sized, targets, shards=4, blocks=16)
+    plan, mixed, dealt = M.mixture(sized, targets, shards=4, per_shard=10)
     total = 3000 + 280 + 500
     short = {r.source for r in plan.where("falls_short").collect()}
     assert short == {"c", "d", "e"}
     used = {r.source: (r.n, r.most) for r in mixed.groupBy("source").agg(F.sum("tokens").alias("n"), F.max("copy").alias("most")).collect()}
     assert abs(used["a"][0] - 0.3 * total) <= 10 and abs(used["b"][0] - 0.1 * total) <= 7 and used["d"][0] == 500
     assert mixed.groupBy("doc_id", "copy").count().where("count > 1").count() == 0 and used["b"][1] <= 2
+    assert {r.source: r.share for r in M.mixture_report(plan, mixed, dealt).collect()}["d"] == pytest.approx(500 / sum(n for n, _ in used.values()))
+    assert all(r.reaches and r.dealt and r.uses <= r.max_repeats for r in M.mixture_report(plan, mixed, dealt).collect())
+    parts = mixed.select("shard", F.spark_partition_id().alias("part")).distinct().collect()
+    assert mixed.rdd.getNumPartitions() == 4 and all(r.shard == r.part for r in parts)  # a shard is a task
+    lost = mixed.where("source <> 'a' or shard <> 2")
+    assert not {r.source: r.dealt for r in M.mixture_report(plan, lost, dealt).collect()}["a"]
     assert M.mixture(sized.where("false"), targets)[1].count() == 0
+    assert M.mixture(sized, targets, shard_tokens=100)[1].rdd.getNumPartitions() == 21  # shards follow the size
 
 
 def test_sources_and_tokens(spark):
