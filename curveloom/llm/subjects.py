@@ -6,6 +6,7 @@ import html
 import math
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -15,8 +16,6 @@ from pyspark.sql import functions as F
 
 from ..runtime import Stages, table
 
-#: Most labelled documents that seed the terms and set the thresholds. All other counts are taken over every document.
-FIT_DOCUMENTS = 20_000
 #: Sentences a term must be in, share of them about its subject while terms are gathered and in the end, and rounds of curation.
 LEAST, PURITY, STRONG, ROUNDS = 4, 0.6, 0.7, 4
 
@@ -42,21 +41,47 @@ def sentences_of(text: str | None) -> list[list[str]]:
     return [w for s in _CUT.split(text) if (w := _WORD.findall(s))]
 
 
-def _mentions(words: list[str], terms: dict[str, tuple[str, float]], joined: set) -> list[tuple[str, str, float, int]]:
-    """Mentions (subject, term, weight, place) in a sentence; words that always go together are one mention."""
-    out, last = [], (-9, "", "")
-    for i, w in enumerate(words):
-        t = terms.get(w)
-        if t is None:
-            continue
-        at, before, subject = last
-        if subject == t[0] and ((i - at == 1 and (before, w) in joined) or (i - at == 2 and (before, words[at + 1], w) in joined)):
-            s, old, weight, place = out[-1]
-            out[-1] = (s, old + " " + " ".join(words[at + 1 : i + 1]), max(weight, t[1]), place)
-        else:
-            out.append((t[0], w, t[1], i))
-        last = (i, w, t[0])
-    return out
+def automaton(terms: dict[str, tuple[str, float]], joined: set):
+    """Multi-pattern matcher of a sentence's words: ``(subject, term, weight, place)`` of every mention, from the automaton's own hits.
+
+    The patterns are all terms and all phrases: ``joined`` holds tuples of the words of a phrase, whose first and last are terms. Hits of terms of one subject
+    that hits of phrases tie are one mention, of the largest weight among them.
+    """
+    import ahocorasick
+
+    a = ahocorasick.Automaton()
+    for w, (subject, weight) in terms.items():
+        a.add_word(f" {w} ", (1, len(w) + 2, subject, weight))
+    for words in joined:
+        a.add_word(p := f" {' '.join(words)} ", (len(words), len(p), "", 0.0))
+    if not terms:
+        return lambda words: []
+    a.make_automaton()
+
+    def match(words: list[str]) -> list[tuple[str, str, float, int]]:
+        line = f" {' '.join(words)} "
+        hits = list(a.iter(line))
+        if not hits:
+            return []
+        single, tied, blanks = {}, set(), [i for i, c in enumerate(line) if c == " "]
+        for end, (n, size, subject, weight) in hits:
+            at = bisect_left(blanks, end - size + 1)
+            if n == 1:
+                single[at] = (subject, weight)
+            else:
+                tied.add((at, at + n - 1))
+        out, last = [], -9
+        for at in sorted(single):
+            subject, weight = single[at]
+            if out and out[-1][0] == subject and (last, at) in tied:
+                _, _, most, first = out[-1]
+                out[-1] = (subject, " ".join(words[first : at + 1]), max(most, weight), first)
+            else:
+                out.append((subject, words[at], weight, at))
+            last = at
+        return out
+
+    return match
 
 
 def _treats(found) -> bool:
@@ -69,48 +94,61 @@ def _treats(found) -> bool:
 FLUSH = 200_000
 
 
-def _agreeing(words: list[str], terms: dict[str, tuple[str, float]]) -> Iterator[tuple[str, str]]:
+def _agreeing(terms: dict[str, tuple[str, float]]):
     """Words of a sentence about one subject, with it: those beside another term of it, or all if one other subject is only named in passing."""
-    uniq = set(words)
-    here = Counter(terms[w][0] for w in uniq if w in terms)
-    if len(here) == 1:
-        ((subject, k),) = here.items()
-        yield from ((w, subject) for w in uniq if k - (w in terms) >= 1)
-    elif here:
-        (s1, k1), (s2, k2) = here.most_common(2)
-        if k1 >= 3 and k2 == 1:
-            yield from ((w, s1) for w in uniq if terms.get(w, (s1,))[0] == s1)
-
-
-def _phrases(words: list[str], terms: dict[str, tuple[str, float]]) -> Iterator[tuple[str, str]]:
+
+    def count(words: list[str]) -> Iterator[tuple[str, str]]:
+        uniq = set(words)
+        here = Counter(terms[w][0] for w in uniq if w in terms)
+        if len(here) == 1:
+            ((subject, k),) = here.items()
+            yield from ((w, subject) for w in uniq if k - (w in terms) >= 1)
+        elif here:
+            (s1, k1), (_, k2) = here.most_common(2)
+            if k1 >= 3 and k2 == 1:
+                yield from ((w, s1) for w in uniq if terms.get(w, (s1,))[0] == s1)
+
+    return count
+
+
+def _phrases(terms: dict[str, tuple[str, float]]):
     """Terms of a sentence, and the terms of one subject that follow each other or with a short word between."""
-    for i, w in enumerate(words):
-        if w in terms:
-            yield w, ""
-            if i + 1 < len(words) and terms.get(words[i + 1], ("",))[0] == terms[w][0]:
-                yield " ".join(words[i : i + 2]), ""
-            if i + 2 < len(words) and words[i + 1] not in terms and len(words[i + 1]) <= 4 and terms.get(words[i + 2], ("",))[0] == terms[w][0]:
-                yield " ".join(words[i : i + 3]), ""
 
+    def count(words: list[str]) -> Iterator[tuple[str, str]]:
+        for i, w in enumerate(words):
+            if w in terms:
+                yield w, ""
+                if i + 1 < len(words) and terms.get(words[i + 1], ("",))[0] == terms[w][0]:
+                    yield " ".join(words[i : i + 2]), ""
+                if i + 2 < len(words) and words[i + 1] not in terms and len(words[i + 1]) <= 4 and terms.get(words[i + 2], ("",))[0] == terms[w][0]:
+                    yield " ".join(words[i : i + 3]), ""
+
+    return count
 
-def _surroundings(words: list[str], terms: dict[str, tuple[str, float]], joined: set) -> Iterator[tuple[str, str]]:
+
+def _surroundings(terms: dict[str, tuple[str, float]], joined: set):
     """Other words of a sentence that treats a subject ("many") or only names one ("one"); the sentence itself counts as the word ""."""
-    if m := _mentions(words, terms, joined):
-        kind = "many" if _treats([t for _, t, _, _ in m]) else "one"
-        yield "", kind
-        yield from ((w, kind) for w in set(words) if w not in terms)
+    match = automaton(terms, joined)
+
+    def count(words: list[str]) -> Iterator[tuple[str, str]]:
+        if m := match(words):
+            kind = "many" if _treats([t for _, t, _, _ in m]) else "one"
+            yield "", kind
+            yield from ((w, kind) for w in set(words) if w not in terms)
 
+    return count
 
-def _tally(pool: DataFrame, found, *given) -> DataFrame:
-    """``(w, kind, k)``: how often ``found(words, *given)`` gives each (w, kind), over all sentences."""
+
+def _tally(pool: DataFrame, counter, *given) -> DataFrame:
+    """``(w, kind, k)``: how often ``counter(*given)`` gives each (w, kind), over all sentences."""
     known = pool.sparkSession.sparkContext.broadcast(given)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c: Counter = Counter()
+        found, c = counter(*known.value), Counter()
         show = lambda: pd.DataFrame([(w, kind, k) for (w, kind), k in c.items()], columns=["w", "kind", "k"])
         for b in batches:
             for line in b.line:
-                c.update(found(line.split(" "), *known.value))
+                c.update(found(line.split(" ")))
                 if len(c) > FLUSH:
                     yield show()
                     c.clear()
@@ -129,28 +167,32 @@ def sentence_pool(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInPandas(cut, "line string")
 
 
-def curate_terms(labelled: list[tuple[list[list[str]], set[str]]], pool: DataFrame, least: int = LEAST, purity: float = PURITY, rounds: int = ROUNDS) -> dict:
-    """Subject terms, phrases, context words and thresholds from labelled documents (sentences, subjects) and ``pool(line)``, all sentences of the corpus.
+def seed_terms(labelled: DataFrame, least: int = LEAST) -> dict[str, tuple[str, float]]:
+    """First terms: words whose documents mostly bear one subject, counted over all ``labelled(text, subjects)``."""
+
+    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(w, list(s)) for t, s in zip(b.text, b.subjects, strict=True) for w in {w for line in sentences_of(t) for w in line}]
+            yield pd.DataFrame(rows, columns=["w", "subjects"])
+
+    w = labelled.select("text", "subjects").mapInPandas(words, "w string, subjects array<string>")
+    size = max(1, labelled.count())
+    base = labelled.select(F.explode("subjects").alias("subject")).groupBy("subject").agg((F.count("*") / size).alias("base"))
+    every = w.groupBy("w").agg(F.count("*").alias("n"))
+    by = w.select("w", F.explode("subjects").alias("subject")).groupBy("w", "subject").agg(F.count("*").alias("k")).where(F.col("k") >= min(3, least))
+    p = by.join(every, "w").join(F.broadcast(base), "subject").withColumn("p", (F.col("k") + F.col("base")) / (F.col("n") + 1))  # base: a row per subject
+    p = p.where(F.col("p") >= F.greatest(F.lit(0.65), 2.2 * F.col("base"))).groupBy("w").agg(F.max_by(F.struct("subject", "p"), F.struct("p", "subject")).alias("x"))
+    return {r.w: (r.x.subject, r.x.p) for r in p.collect()}  # follows the vocabulary
+
+
+def curate_terms(labelled: DataFrame, pool: DataFrame, least: int = LEAST, purity: float = PURITY, rounds: int = ROUNDS) -> dict:
+    """Subject terms, phrases, context words and thresholds from ``labelled(doc_id, text, subjects)`` and ``pool(line)``, all sentences of the corpus.
 
-    First terms are words whose documents mostly bear one subject; then a word is kept if most sentences it is in also hold another term
+    :func:`seed_terms` gives first terms; then a word is kept if most sentences it is in also hold another term
     of the same subject and none of a different one. Labels may be wrong or missing: they only seed the terms and set the thresholds.
-    All counts of words, pairs, contexts and rarity are distributed aggregates over the pool; the driver holds what is admitted, which follows the vocabulary.
+    All counts (seeds, words, pairs, contexts, rarity, agreement with the labels) are distributed aggregates; the driver holds what is admitted, which follows the vocabulary.
     """
-    n, by, prior = Counter(), defaultdict(Counter), Counter()
-    for doc, subjects in labelled:
-        words = {w for s in doc for w in s}
-        n.update(words)
-        prior.update(subjects)
-        for s in subjects:
-            by[s].update(words)
-    size = max(1, len(labelled))
-    terms: dict[str, tuple[str, float]] = {}
-    for s, c in by.items():
-        base = prior[s] / size
-        for w, k in c.items():
-            p = (k + base) / (n[w] + 1)
-            if k >= min(3, least) and p >= max(0.65, 2.2 * base) and p > terms.get(w, ("", 0.0))[1]:
-                terms[w] = (s, p)
+    terms = seed_terms(labelled, least)
     work = Stages(pool.sparkSession, "subjects")
     pool = work.write(pool)
     seen = work.write(pool.select(F.explode(F.array_distinct(F.split("line", " "))).alias("w")).groupBy("w").agg(F.count("*").alias("seen")).where(F.col("seen") >= least))
@@ -179,27 +221,37 @@ def curate_terms(labelled: list[tuple[list[list[str]], set[str]]], pool: DataFra
     many, one = {r.w: r.many for r in around}, {r.w: r.one for r in around}
     n_many, n_one = many.pop("", 0), one.pop("", 0)
     context = {w: max(-3.0, min(3.0, math.log((many[w] + 0.5) / (n_many + 1)) - math.log((one[w] + 0.5) / (n_one + 1)))) for w in many}
-    model = {"terms": terms, "joined": joined, "context": context, "thresholds": {}}
-    # the threshold of each subject is the one that agrees best with its labels
-    scored = [(score_document(doc, model), subjects) for doc, subjects in labelled]
-    for s in prior:
+    model = {"terms": terms, "joined": joined, "context": context}
+    return model | {"thresholds": calibrated(labelled, model)}
+
+
+#: Thresholds tried for a subject.
+TRIED = (0.8, 0.9, 1.0, 1.1, 1.2, 1.3, 1.4, 1.5)
+
+
+def calibrated(labelled: DataFrame, model: dict) -> dict[str, float]:
+    """For each subject the lowest threshold that agrees best (F measure, to 0.001) with the labels of ``labelled(doc_id, text, subjects)``; 1.0 if none agrees."""
+    scored = subject_areas(labelled, model | {"thresholds": {}}, least=0.0).select("doc_id", "subject", "score")
+    given = labelled.select("doc_id", F.explode("subjects").alias("subject")).distinct().withColumn("given", F.lit(True))
+    both = scored.join(given, ["doc_id", "subject"], "full").select("subject", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("given", F.lit(False)).alias("given"))
+    sums = [F.struct(F.lit(t).alias("t"), F.count_if((F.col("score") >= t) & F.col("given")).alias("tp"), F.count_if((F.col("score") >= t) != F.col("given")).alias("wrong")) for t in TRIED]
+    out = {}
+    for r in both.groupBy("subject").agg(F.array(*sums).alias("x")).collect():  # a row per subject
         best = (-1.0, 1.0)
-        for t in (0.8, 0.9, 1.0, 1.1, 1.2, 1.3, 1.4, 1.5):
-            tp = sum(1 for sc, y in scored if sc.get(s, 0) >= t and s in y)
-            wrong = sum(1 for sc, y in scored if (sc.get(s, 0) >= t) != (s in y))
-            f = 2 * tp / (2 * tp + wrong) if tp else 0.0
+        for x in r.x:
+            f = 2 * x.tp / (2 * x.tp + x.wrong) if x.tp else 0.0
             if f > best[0] + 1e-3:
-                best = (f, t)
-        model["thresholds"][s] = best[1]
-    return model
+                best = (f, x.t)
+        out[r.subject] = best[1]
+    return out
 
 
-def score_document(doc: list[list[str]], model: dict, matcher=None) -> dict[str, float]:
+def score_document(doc: list[list[str]], context: dict[str, float], match) -> dict[str, float]:
     """Largest sentence score of each subject: weights of its distinct terms, less for very long runs of words; a lone term counts as far as the
     words around it are those of sentences that treat a subject, and not beside two terms of another one."""
     best: dict[str, float] = {}
     for words in doc:
-        m = matcher(words) if matcher else _mentions(words, model["terms"], model["joined"])
+        m = match(words)
         if not m:
             continue
         by: dict[str, dict[str, float]] = defaultdict(dict)
@@ -213,7 +265,7 @@ def score_document(doc: list[list[str]], model: dict, matcher=None) -> dict[str,
             elif top >= 2:
                 continue
             else:
-                ctx = [model["context"][w] for w in set(words) if w in model["context"]]
+                ctx = [context[w] for w in set(words) if w in context]
                 lean = sum(ctx) if ctx else 0.0
                 score += max(-0.6, min(0.6, 0.3 * lean))
             if score > best.get(s, 0.0):
@@ -221,49 +273,27 @@ def score_document(doc: list[list[str]], model: dict, matcher=None) -> dict[str,
     return best
 
 
-def automaton(model: dict):
-    """Multi-pattern matcher of all terms over a sentence; gives what :func:`_mentions` gives."""
-    import ahocorasick
-
-    a = ahocorasick.Automaton()
-    for w, (s, weight) in model["terms"].items():
-        a.add_word(" " + w + " ", (w, s, weight))
-    if not model["terms"]:
-        return lambda words: []
-    a.make_automaton()
-    terms, joined = model["terms"], model["joined"]
-
-    def match(words: list[str]):
-        line = "  ".join(words)
-        if next(a.iter(" " + line + " "), None) is None:
-            return []
-        return _mentions(words, terms, joined)
-
-    return match
-
-
-def fit_subjects(docs: DataFrame, labels: DataFrame, subjects: DataFrame, limit: int = FIT_DOCUMENTS) -> dict:
-    """Curate the model from all documents, seeded and calibrated on at most ``limit`` labelled ones, chosen by a hash of their id."""
-    names = [r[0] for r in subjects.where("subject is not null").select("subject").distinct().limit(1000).collect()]
-    known = {n.strip().lower(): n for n in names}
-    lab = labels.where("doc_id is not null").groupBy("doc_id").agg(F.collect_set(F.lower(F.trim("subject"))).alias("subjects"))
+def fit_subjects(docs: DataFrame, labels: DataFrame, subjects: DataFrame) -> dict:
+    """Curate the model from all documents, seeded and calibrated on all labelled ones. Labels are compared without blanks around them and regardless of case."""
+    known = subjects.where("subject is not null").select("subject", F.lower(F.trim("subject")).alias("key")).groupBy("key").agg(F.min("subject").alias("subject"))
+    lab = labels.where("doc_id is not null").select("doc_id", F.lower(F.trim("subject")).alias("key")).distinct().join(F.broadcast(known), "key", "left")  # a row per subject
+    lab = lab.groupBy("doc_id").agg(F.collect_set("subject").alias("subjects"))
     text = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
-    a = text.join(lab, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).collect()
-    return curate_terms([(sentences_of(r.text), {known[s] for s in r.subjects if s in known}) for r in a], sentence_pool(text))
+    return curate_terms(Stages(docs.sparkSession, "labelled").write(text.join(lab, "doc_id")), sentence_pool(text))
 
 
-def subject_areas(docs: DataFrame, model: dict) -> DataFrame:
-    """``(doc_id, subject, score)``: every subject of a document whose score reaches the subject's threshold.
+def subject_areas(docs: DataFrame, model: dict, least: float = 9.0) -> DataFrame:
+    """``(doc_id, subject, score)``: every subject of a document whose score reaches the subject's threshold (``least`` for one without).
 
-    Whole texts are read; no shuffle. A null or empty text has no subject; equal texts have equal ones. The model is bounded by the sample it is fitted on.
+    Whole texts are read; no shuffle. A null or empty text has no subject; equal texts have equal ones. The model follows the vocabulary, not the rows.
     """
     given = docs.sparkSession.sparkContext.broadcast(model)
 
     def classify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = given.value
-        match = automaton(m)
+        match = automaton(m["terms"], m["joined"])
         for b in batches:
-            rows = [(d, s, v) for d, t in zip(b.doc_id, b.text, strict=True) for s, v in score_document(sentences_of(t), m, match).items() if v >= m["thresholds"].get(s, 9.0)]
+            rows = [(d, s, v) for d, t in zip(b.doc_id, b.text, strict=True) for s, v in score_document(sentences_of(t), m["context"], match).items() if v >= m["thresholds"].get(s, least)]
             yield pd.DataFrame(rows, columns=["doc_id", "subject", "score"])
 
     return docs.select("doc_id", "text").where("doc_id is not null and text is not null").mapInPandas(classify, "doc_id bigint, subject string, score double")

@@ -157,6 +157,13 @@ def test_subjects(spark):
     assert S.subject_areas(docs, empty).count() == 0
 
 
+def test_mentions_are_the_hits_of_the_automaton():
+    terms = {"red": ("art", 0.9), "chalk": ("art", 0.8), "tide": ("sea", 0.7), "pool": ("sea", 1.0)}
+    match = S.automaton(terms, {("red", "chalk"), ("tide", "of", "pool")})
+    assert match("a red chalk and red tide of pool pool".split()) == [("art", "red chalk", 0.9, 1), ("art", "red", 0.9, 4), ("sea", "tide of pool", 1.0, 5), ("sea", "pool", 1.0, 8)]
+    assert match("reds chalky".split()) == [] and match([]) == [] and S.automaton({}, set())(["red"]) == []
+
+
 def test_terms_are_counted_over_all_documents(spark):
     """A term outside the labelled sample, in six of 1,000 documents without labels."""
     rows = _corpus()
@@ -164,5 +171,5 @@ def test_terms_are_counted_over_all_documents(spark):
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(1000 + i, f"Nobody knew why Kel{i} had doors.") for i in range(800)] + rare, "doc_id bigint, text string")
     labels = spark.createDataFrame([(i, s) for i, _, s in rows[:150]], "doc_id bigint, subject string")
     names = spark.createDataFrame([("sea",), ("art",)], "subject string")
-    model = S.fit_subjects(docs, labels, names, limit=100)
+    model = S.fit_subjects(docs, labels, names)
     assert model["terms"]["trawlers"][0] == "sea"
