@@ -13,25 +13,33 @@ from .neighbors import nearest_vectors
 
 #: Share of a column under which entries are pruned, most entries of a column (the largest; ties by smaller row), inflation, and steps after which an unsettled flow is an error.
 PRUNE, MOST, INFLATION, MAX_STEPS = 0.1, 10, 2.0, 60
-#: A column is settled when its largest entry less the sum of its squares is under this: all its entries are alike then.
-SETTLED = 1e-3
+#: A column is settled when one entry is over CLEAR, or, after EVEN steps, when its largest entry less the sum of its squares is under ALIKE: its entries are alike and stay so.
+CLEAR, EVEN, ALIKE = 0.9, 6, 0.05
 
 
-def _columns(raw: DataFrame, inflation: float, prune: float, most: int) -> DataFrame:
+def _columns(raw: DataFrame, inflation: float, prune: float, most: int, even: bool = False) -> DataFrame:
     """The ``most`` largest entries of every column of ``(c, r, v)``, cut before they are shuffled, then inflated, pruned and made to sum to 1."""
     rank = F.row_number().over(Window.partitionBy("c").orderBy(F.desc("v"), "r"))
     w = Window.partitionBy("c")
     x = raw.withColumn("rn", rank).where(F.col("rn") <= most).withColumn("v", F.pow("v", F.lit(inflation)))
     x = x.withColumn("s", F.sum("v").over(w)).where((F.col("v") >= prune * F.col("s")) | (F.col("rn") == 1))
     x = x.withColumn("v", F.col("v") / F.sum("v").over(w))
-    return x.select("c", "r", "v", (F.max("v").over(w) - F.sum(F.col("v") * F.col("v")).over(w) < SETTLED).alias("done"))
+    done = (F.max("v").over(w) > CLEAR) | (F.max("v").over(w) - F.sum(F.col("v") * F.col("v")).over(w) < ALIKE)
+    return x.select("c", "r", "v", "rn", (done if even else F.max("v").over(w) > CLEAR).alias("done"))
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def markov_clusters(edges: DataFrame, inflation: float = INFLATION, prune: float = PRUNE, most: int = MOST, max_steps: int = MAX_STEPS) -> DataFrame:
     """``(id, flow_cluster, inflow)`` of every node of the similarity graph ``edges(a, b, weight)``; flow_cluster is the attractor's id.
 
     Edges count in both directions, repeats by their largest weight; each node gets a loop of its largest weight. The column-stochastic
-    matrix is squared by a join on the middle node, inflated and pruned until every column holds like entries only; the largest (ties: smallest row) is where the
+    matrix is squared by a join on the middle node, inflated and pruned until every column holds like entries only (one that does is not squared on); the largest (ties: smallest row) is where the
     node's flow goes, and following it leads to the attractor. ``inflow`` is the flow a node receives after the second step, largest for the typical members of a cluster.
     A column never holds more than ``most`` entries, whatever ties there are, so a hub costs as much as any other node and a squaring at most ``most`` ** 2 entries a
     column. Null ends, loops and weights not above 0 are left out; an empty graph gives an empty result; a flow unsettled after ``max_steps`` is an error.
@@ -42,20 +50,23 @@ def markov_clusters(edges: DataFrame, inflation: float = INFLATION, prune: float
     e = e.groupBy("c", "r").agg(F.max("weight").alias("v"))
     top = e.withColumn("rn", F.row_number().over(Window.partitionBy("c").orderBy(F.desc("v"), "r"))).where(F.col("rn") < most)
     looped = top.select("c", F.explode(F.when(F.col("rn") == 1, F.array(F.struct("r", "v"), F.struct(F.col("c").alias("r"), "v"))).otherwise(F.array(F.struct("r", "v")))).alias("x")).select("c", "x.r", "x.v")
-    m = work.write(_columns(looped, 1.0, prune, most))
-    inflow = None
+    now, kept, inflow = work.write(_columns(looped, 1.0, prune, most)), [], None
     for step in range(max_steps + 1):
-        if step >= 2 and m.where("not done").isEmpty():
+        m, open_ = _union([*kept, now.select("c", "r", "v")]), now.where("not done")
+        if step == 2:
+            inflow = work.write(m.groupBy("r").agg(F.sum("v").alias("inflow")).select(F.col("r").alias("id"), "inflow"))
+        if step >= 2 and open_.isEmpty():
             break
         if step == max_steps:
             raise RuntimeError(f"the flow has not settled after {max_steps} steps")
-        left, right = m.select("c", F.col("r").alias("k"), F.col("v").alias("va")), m.select(F.col("c").alias("k"), "r", F.col("v").alias("vb"))
+        if step >= 2:  # a settled column keeps its place of flow alone and is not squared on
+            kept.append(now.where("done and rn = 1").select("c", "r", F.lit(1.0).alias("v")))
+            m = _union([*kept, open_.select("c", "r", "v")])
+        left = (open_ if step >= 2 else now).select("c", F.col("r").alias("k"), F.col("v").alias("va"))
+        right = m.select(F.col("c").alias("k"), "r", F.col("v").alias("vb"))
         squared = left.join(right, "k").groupBy("c", "r").agg(F.sum(F.col("va") * F.col("vb")).alias("v"))
-        old, m = m, work.write(_columns(squared, inflation, prune, most))
-        work.drop(old)
-        if step == 1:
-            inflow = work.write(m.groupBy("r").agg(F.sum("v").alias("inflow")).select(F.col("r").alias("id"), "inflow"))
-    to = work.write(m.groupBy("c").agg(F.max_by("r", F.struct("v", -F.col("r"))).alias("p")).select(F.col("c").alias("id"), "p", F.lit(True).alias("moved")))
+        now = work.write(_columns(squared, inflation, prune, most, step >= EVEN))
+    to = work.write(_union([*kept, now.where("rn = 1").select("c", "r", "v")]).select(F.col("c").alias("id"), F.col("r").alias("p"), F.lit(True).alias("moved")))
     while not to.where("moved").isEmpty():  # flow of flow, by doubling: columns may settle on a node whose own flow goes on
         up = to.select(F.col("id").alias("p"), F.col("p").alias("pp"))
         old, to = to, work.write(to.join(up, "p").select("id", F.col("pp").alias("p"), (F.col("pp") != F.col("p")).alias("moved")))
