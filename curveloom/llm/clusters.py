@@ -18,14 +18,24 @@ CLEAR, EVEN, ALIKE = 0.9, 6, 0.05
 
 
 def _columns(raw: DataFrame, inflation: float, prune: float, most: int, even: bool = False) -> DataFrame:
-    """The ``most`` largest entries of every column of ``(c, r, v)``, cut before they are shuffled, then inflated, pruned and made to sum to 1."""
+    """``(c, e, done)``: columns of ``(c, r, v)`` as arrays of (v, r), largest first: the ``most`` largest entries, inflated, pruned and made to sum to 1.
+
+    The entries of a column come from at most ``most`` others or are cut before (see :func:`_largest`), so the arrays gathered are small.
+    """
+    x = raw.groupBy("c").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("v")).alias("v"), "r"))), 1, most).alias("e"))
+    total = "aggregate(e, 0D, (a, x) -> a + x.v)"
+    x = x.withColumn("e", F.expr(f"transform(e, x -> named_struct('v', pow(-x.v, {inflation}D), 'r', x.r))")).withColumn("s", F.expr(total))
+    x = x.withColumn("e", F.expr(f"filter(e, (x, i) -> i = 0 or x.v >= {prune}D * s)")).withColumn("s", F.expr(total))
+    x = x.withColumn("e", F.expr("transform(e, x -> named_struct('v', x.v / s, 'r', x.r))"))
+    clear = F.col("e")[0]["v"] > CLEAR
+    alike = F.col("e")[0]["v"] - F.expr("aggregate(e, 0D, (a, x) -> a + x.v * x.v)") < ALIKE
+    return x.select("c", "e", (clear | alike if even else clear).alias("done"))
+
+
+def _largest(e: DataFrame, most: int) -> DataFrame:
+    """The ``most`` largest entries of every column, ties by smaller row; cut within tasks before anything is shuffled by column."""
     rank = F.row_number().over(Window.partitionBy("c").orderBy(F.desc("v"), "r"))
-    w = Window.partitionBy("c")
-    x = raw.withColumn("rn", rank).where(F.col("rn") <= most).withColumn("v", F.pow("v", F.lit(inflation)))
-    x = x.withColumn("s", F.sum("v").over(w)).where((F.col("v") >= prune * F.col("s")) | (F.col("rn") == 1))
-    x = x.withColumn("v", F.col("v") / F.sum("v").over(w))
-    done = (F.max("v").over(w) > CLEAR) | (F.max("v").over(w) - F.sum(F.col("v") * F.col("v")).over(w) < ALIKE)
-    return x.select("c", "r", "v", "rn", (done if even else F.max("v").over(w) > CLEAR).alias("done"))
+    return e.withColumn("rn", rank).where(F.col("rn") <= most)
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -48,25 +58,28 @@ def markov_clusters(edges: DataFrame, inflation: float = INFLATION, prune: float
     work = Stages(spark, "flow")
     e = edges.where("a <> b and weight > 0").select(F.explode(F.array(F.struct(F.col("a").alias("c"), F.col("b").alias("r"), "weight"), F.struct(F.col("b").alias("c"), F.col("a").alias("r"), "weight"))).alias("x")).select("x.*")
     e = e.groupBy("c", "r").agg(F.max("weight").alias("v"))
-    top = e.withColumn("rn", F.row_number().over(Window.partitionBy("c").orderBy(F.desc("v"), "r"))).where(F.col("rn") < most)
-    looped = top.select("c", F.explode(F.when(F.col("rn") == 1, F.array(F.struct("r", "v"), F.struct(F.col("c").alias("r"), "v"))).otherwise(F.array(F.struct("r", "v")))).alias("x")).select("c", "x.r", "x.v")
+    loop = F.when(F.col("rn") == 1, F.array(F.struct("r", "v"), F.struct(F.col("c").alias("r"), "v"))).otherwise(F.array(F.struct("r", "v")))
+    looped = _largest(e, most - 1).select("c", F.explode(loop).alias("x")).select("c", "x.r", "x.v")
     now, kept, inflow = work.write(_columns(looped, 1.0, prune, most)), [], None
+    flow = lambda t: t.select("c", F.explode("e").alias("x")).select("c", "x.r", "x.v")
     for step in range(max_steps + 1):
-        m, open_ = _union([*kept, now.select("c", "r", "v")]), now.where("not done")
+        open_ = now.where("not done")
         if step == 2:
-            inflow = work.write(m.groupBy("r").agg(F.sum("v").alias("inflow")).select(F.col("r").alias("id"), "inflow"))
+            inflow = work.write(flow(now).groupBy("r").agg(F.sum("v").alias("inflow")).select(F.col("r").alias("id"), "inflow"))
         if step >= 2 and open_.isEmpty():
             break
         if step == max_steps:
             raise RuntimeError(f"the flow has not settled after {max_steps} steps")
-        if step >= 2:  # a settled column keeps its place of flow alone and is not squared on
-            kept.append(now.where("done and rn = 1").select("c", "r", F.lit(1.0).alias("v")))
-            m = _union([*kept, open_.select("c", "r", "v")])
-        left = (open_ if step >= 2 else now).select("c", F.col("r").alias("k"), F.col("v").alias("va"))
-        right = m.select(F.col("c").alias("k"), "r", F.col("v").alias("vb"))
-        squared = left.join(right, "k").groupBy("c", "r").agg(F.sum(F.col("va") * F.col("vb")).alias("v"))
+        if step < 2:
+            open_ = now
+        else:  # a settled column keeps its place of flow alone and is not squared on
+            kept.append(now.where("done").select("c", F.expr("array(named_struct('v', 1D, 'r', e[0].r))").alias("e")))
+        left = flow(open_).select("c", F.col("r").alias("k"), F.col("v").alias("va"))
+        right = _union([*kept, open_.select("c", "e")]).select(F.col("c").alias("k"), "e")
+        met = left.join(right, "k").select("c", "va", F.explode("e").alias("x")).select("c", F.col("x.r").alias("r"), (F.col("va") * F.col("x.v")).alias("v"))
+        squared = met.repartition("c").groupBy("c", "r").agg(F.sum("v").alias("v"))
         now = work.write(_columns(squared, inflation, prune, most, step >= EVEN))
-    to = work.write(_union([*kept, now.where("rn = 1").select("c", "r", "v")]).select(F.col("c").alias("id"), F.col("r").alias("p"), F.lit(True).alias("moved")))
+    to = work.write(_union([*kept, now.select("c", "e")]).select(F.col("c").alias("id"), F.expr("e[0].r").alias("p"), F.lit(True).alias("moved")))
     while not to.where("moved").isEmpty():  # flow of flow, by doubling: columns may settle on a node whose own flow goes on
         up = to.select(F.col("id").alias("p"), F.col("p").alias("pp"))
         old, to = to, work.write(to.join(up, "p").select("id", F.col("pp").alias("p"), (F.col("pp") != F.col("p")).alias("moved")))

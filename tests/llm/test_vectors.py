@@ -135,7 +135,9 @@ def test_markov_star(spark):
     rows = K.markov_clusters(star).collect()
     assert len(rows) == 801 and len({r.flow_cluster for r in rows}) < 801
     raw = star.select(F.col("a").alias("c"), F.col("b").alias("r"), F.col("weight").alias("v"))
-    assert K._columns(raw, 2.0, 0.1, K.MOST).count() == K.MOST
+    assert K._largest(raw, K.MOST).count() == K.MOST
+    e = K._columns(raw.limit(30), 2.0, 0.01, K.MOST).first().e
+    assert [x.r for x in e] == sorted(x.r for x in e) and len(e) == K.MOST and abs(sum(x.v for x in e) - 1) < 1e-9
 
 
 def test_flow_is_an_error_when_unsettled(spark):
