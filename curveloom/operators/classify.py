@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,14 +13,14 @@ from pyspark.sql import functions as F
 from ..functions.curve import curve_key, interleave, to_transposed
 from ..functions.points import permute, square_distance
 from ..runtime import Stages
+from .groups import joined_names, renamed
 from .order import global_positions, sample_exact
-from .pairs import budgeted
-from .runs import characteristic_distance, islands, neighbor_distances
-from .stats import centroids
-
-#: Rows an order is judged on, and clusters compared on the driver.
-SAMPLE, MOST_CLUSTERS = 20_000, 2_000
+from .pairs import closest_clusters, closest_outliers, nearest_between
+from .runs import characteristic_distance, cluster_count, islands, neighbor_distances, revisited, window_density
+from .stats import shrinkage
 
+#: Rows up to which an order is measured in one task; more are measured by distributed positions, with the same result.
+TASK_ROWS = 200_000
 
 def jump(d2: np.ndarray, skip: int) -> int:
     """Characteristic distance of the steps along an order (see runs.characteristic_distance), for one array."""
@@ -46,158 +49,180 @@ def scramble(perm: list[int], n: int, rng: np.random.Generator) -> list[int]:
     return out.tolist()
 
 
-def order_search(points: DataFrame, dims: int, bits: int, outlier: int = 5, skip: int = 10, trials: int = 4, rounds: int = 8, patience: int = 3, seed: int = 1, sample: int = SAMPLE) -> tuple[list[int], int]:
-    """The permutation of dimensions whose curve order has the fewest clusters, and that number, judged on at most ``sample`` points.
+def halving(perm: list[int], round_: int, rng: np.random.Generator) -> list[int]:
+    """Scramble all dimensions, then half as many each round, at least five."""
+    return scramble(perm, max(min(len(perm), 5), len(perm) >> round_), rng)
+
+
+def shrinking(perm: list[int], round_: int, rng: np.random.Generator) -> list[int]:
+    """Scramble all dimensions, then 0.7 times as many each round, at least five."""
+    return scramble(perm, max(min(len(perm), 5), int(len(perm) * 0.7**round_)), rng)
+
+
+def measure_order(points: DataFrame, perm: list[int], dims: int, bits: int, outlier: int, skip: int) -> tuple[DataFrame, DataFrame, int, int]:
+    """The index of all points in the order of ``perm``, its neighbour distances, the characteristic distance and the number of clusters above ``outlier`` points."""
+    work = Stages(points.sparkSession, "measure")
+    index = work.write(global_positions(points.select("id", "coords").withColumn("hkey", curve_key(permute(F.col("coords"), perm), dims, bits)), ["hkey", "id"]))
+    gaps = work.write(neighbor_distances(index))
+    s = characteristic_distance(gaps, index.count(), skip).first().s
+    return index, gaps, s, cluster_count(islands(index, gaps, s), outlier).first().clusters
+
+
+def default_metric(steps: np.ndarray, outlier: int, skip: int) -> int:
+    """Number of clusters above ``outlier`` points when an order with these square steps is cut at its characteristic distance."""
+    sizes = np.bincount(np.concatenate([[0], np.cumsum(steps > jump(steps, skip))]))
+    return int((sizes > outlier).sum())
+
+
+def order_search(points: DataFrame, dims: int, bits: int, outlier: int = 5, skip: int = 10, trials: int = 4, rounds: int = 250, patience: int = 3, seed: int = 1, strategy: Callable = halving, metric: Callable | None = None) -> tuple[list[int], int]:
+    """The permutation of dimensions whose curve order has the fewest clusters, and that number over all points.
 
-    All trials of a round are one job, a task each; each round scrambles half as many dimensions of the best one, at least five.
+    The first order is measured on all points; trials on a sample, large enough to hold 100 points of an average cluster and 2,000 at least. A trial with less than a quarter of
+    the first count isn't trusted: the sample grows by half. All trials of a round are one job. Up to seven dimensions permutations are tried one after the
+    other, beyond that ``strategy(permutation, round, generator)`` gives the next ones. ``metric(square steps, outlier, skip)`` may replace the count of clusters in the
+    trials. The winner is measured again on all points. Fewer than two points give the identity and their number of clusters, 0 or 1 for an outlier size of 0.
     """
     spark = points.sparkSession
-    small = Stages(spark, "search").write(sample_exact(points.select("id", "coords"), sample, seed))
-    rng = np.random.default_rng(seed)
-
-    def measure(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, x = pdf.id.to_numpy(), np.stack(pdf.coords.to_numpy()).astype(np.int64)
-        keys = interleave(to_transposed(x[:, list(pdf.perm.iloc[0])], bits), bits)
-        o = np.lexsort((ids, *keys.T[::-1]))
-        d2 = np.square(np.diff(x[o], axis=0)).sum(axis=1)
-        s = jump(d2, skip)
-        sizes = np.bincount(np.concatenate([[0], np.cumsum(d2 > s)]))
-        return pd.DataFrame({"trial": [key[0]], "clusters": [int((sizes > outlier).sum())]})
-
-    best, fewest, idle = list(range(dims)), None, 0
+    rng, count = np.random.default_rng(seed), metric or default_metric
+    best = list(range(dims))
+    n = points.count()
+    if n < 2:
+        return best, int(n > outlier)
+    first = measure_order(points, best, dims, bits, outlier, skip)[3]
+    size = int(min(n, max(2000, min(1.0, 100 / (n / max(1, first))) * n)))
+    fewest, idle, rejected = first, 0, set()
+    every = itertools.permutations(reversed(range(dims))) if dims <= 7 else None
+
+    def measuring(perms: list[list[int]]):
+        def measure(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            ids, x = pdf.id.to_numpy(), np.stack(pdf.coords.to_numpy()).astype(np.int64)
+            keys = interleave(to_transposed(x[:, perms[key[0]]], bits), bits)
+            o = np.lexsort((ids, *keys.T[::-1]))
+            return pd.DataFrame({"trial": [key[0]], "clusters": [count(np.square(np.diff(x[o], axis=0)).sum(axis=1), outlier, skip)]})
+
+        return measure
+
+    work = Stages(spark, "search")
+    sample = work.write(sample_exact(points.select("id", "coords"), size, seed)) if size < n else work.write(points.select("id", "coords"))
     for r in range(rounds):
-        n = max(min(dims, 5), dims >> r)
-        perms = ([best] if r == 0 else []) + [scramble(best, n, rng) for _ in range(trials - (r == 0))]
-        t = F.broadcast(spark.createDataFrame([(k, p) for k, p in enumerate(perms)], "trial int, perm array<int>"))
-        got = {row.trial: row.clusters for row in small.crossJoin(t).groupBy("trial").applyInPandas(measure, "trial int, clusters int").collect()}
-        if not got:
-            return best, 0
-        k = min(got, key=lambda i: (got[i], i))
-        if fewest is None or got[k] < fewest:
-            best, fewest, idle = perms[k], got[k], 0
+        perms = [list(p) for p in itertools.islice(every, trials)] if every else [strategy(best, r, rng) for _ in range(trials)]
+        if not perms or fewest <= 2:
+            break
+        if size <= TASK_ROWS or metric:
+            tried = sample.withColumn("trial", F.explode(F.array(*map(F.lit, range(len(perms))))))
+            got = {row.trial: row.clusters for row in tried.groupBy("trial").applyInPandas(measuring(perms), "trial int, clusters int").collect()}
+        else:
+            got = {k: measure_order(sample, p, dims, bits, outlier, skip)[3] for k, p in enumerate(perms)}
+        trusted = {k: c for k, c in got.items() if c >= first / 4 or size == n}
+        if len(trusted) < len(got) and size not in rejected:
+            rejected.add(size)
+            size = min(n, 3 * size // 2)
+            sample = work.write(sample_exact(points.select("id", "coords"), size, seed)) if size < n else work.write(points.select("id", "coords"))
+        k = min(trusted, key=lambda i: (trusted[i], i), default=None)
+        if k is not None and trusted[k] < fewest:
+            best, fewest, idle = perms[k], trusted[k], 0
         else:
             idle += 1
-        if fewest <= 2 or idle >= patience:
+        if idle >= patience:
             break
-    return best, fewest
-
-
-def pair_distances(points: DataFrame, cents: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``(a, b, d2)``: for many cluster pairs at once, the point of b nearest to a's centroid and then the point of a nearest to it."""
-    one = points.select(F.col("label").alias("b"), F.col("id").alias("id2"), F.col("coords").alias("c2"))
-    p = pairs.select("a", "b").join(cents.select(F.col("label").alias("a"), "centroid"), "a")
-    to_b = one.join(p, "b").groupBy("a", "b").agg(F.min_by("c2", F.struct(square_distance(F.col("c2"), F.col("centroid")), "id2")).alias("c2"))
-    return points.select(F.col("label").alias("a"), "coords").join(to_b, "a").groupBy("a", "b").agg(F.min(square_distance(F.col("coords"), F.col("c2"))).alias("d2"))
-
+    return best, measure_order(points, best, dims, bits, outlier, skip)[3]
 
-def _union(pairs: list[tuple[int, int]]) -> dict[int, int]:
-    root: dict[int, int] = {}
 
-    def find(x):
-        while root.setdefault(x, x) != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
+def merge_outliers(points: DataFrame, neighbors: int, limit: int | None, least: int) -> DataFrame:
+    """Points with each cluster of fewer than ``least`` points put to the nearest of its candidate larger ones that is at most ``limit`` away by its closest points.
 
-    for a, b in pairs:
-        a, b = find(a), find(b)
-        root[max(a, b)] = min(a, b)
-    return {x: find(x) for x in root}
+    Taken in the order of distance, a pair counts only while exactly one side is still an outlier; as every pair has one larger cluster, an outlier joins the first it meets.
+    """
+    n = points.groupBy("label").agg(F.count("*").alias("n"))
+    pairs = closest_outliers(points, neighbors, limit, least)
+    small = F.col("n") < least
+    few = n.where(small).select(F.col("label").alias("name"))
+    sides = pairs.select("d2", F.col("a").alias("name"), F.col("b").alias("to")).unionByName(pairs.select("d2", F.col("b").alias("name"), F.col("a").alias("to")))
+    first = sides.join(few, "name").groupBy("name").agg(F.min_by("to", F.struct("d2", "to")).alias("root"))
+    return renamed(points, first)
 
 
-def curve_classify(points: DataFrame, dims: int, bits: int, outlier: int = 5, skip: int = 10, neighbors: int = 5, outlier_factor: float = 5.0, merge_distance: int | None = None, seed: int = 1) -> tuple[DataFrame, int]:
-    """``(id, label)`` and the merge distance S: runs of the best order, joined where clusters are within S, then outliers within ``outlier_factor`` * S.
+def curve_classify(points: DataFrame, dims: int, bits: int, outlier: int = 5, skip: int = 10, neighbors: int = 5, outlier_factor: float = 5.0, merge_distance: int | None = None, seed: int = 1, exact: bool = True, start: DataFrame | None = None, trials: int = 4, rounds: int = 250, strategy: Callable = halving) -> tuple[DataFrame, int]:
+    """``(id, label)`` and the merge distance S: runs of the best order (and runs the walk comes back to), joined where clusters of at least ``outlier`` points are within S
+    of one of their ``neighbors`` nearest by centroid, then smaller ones put to the nearest larger cluster within ``outlier_factor`` * S.
 
-    Labels are the smallest id of a cluster. Rows are only sorted, joined and aggregated; the driver handles at most ``MOST_CLUSTERS`` centroids of
-    clusters above ``outlier`` points (the largest ones), whatever the number of rows. Fewer than ten points are an error.
+    Labels are the smallest id of a cluster. ``start(id, label)`` keeps the points of an initial cluster together from the beginning. ``exact`` compares clusters by their closest
+    points, else through their centroids. Every cluster is compared, whatever their number; nothing but counts reaches the driver. Fewer than ten points are an error.
     """
-    spark = points.sparkSession
-    work = Stages(spark, "classify")
+    work = Stages(points.sparkSession, "classify")
     pts = work.write(points.select("id", "coords"))
     n = pts.count()
     if n < 10:
         raise ValueError("at least ten points are needed")
-    perm, _ = order_search(pts, dims, bits, outlier, skip, seed=seed)
-    index = work.write(global_positions(pts.withColumn("hkey", curve_key(permute(F.col("coords"), perm), dims, bits)), ["hkey", "id"]))
-    gaps = work.write(neighbor_distances(index))
-    s = merge_distance if merge_distance and merge_distance > 0 else characteristic_distance(gaps, n, skip).first().s
-    runs = islands(index, gaps, s)
-    named = runs.join(runs.groupBy("island").agg(F.min("id").alias("label"), F.count("*").alias("size")), "island")
-    lab = work.write(named.join(pts, "id").select("id", "coords", "label", "size"))
-    cents = work.write(centroids(lab))
-    large = cents.where(F.col("n") > outlier).orderBy(F.desc("n"), "label").limit(MOST_CLUSTERS).collect()
-    if large:
-        c = np.array([r.centroid for r in large], np.float64)
-        m = np.einsum("kd,kd->k", c, c)
-        d = m[:, None] + m[None, :] - 2 * c @ c.T
-        near = np.argsort(d, axis=1)[:, 1 : 4 * neighbors + 1]
-        cand = {(min(large[i].label, large[j].label), max(large[i].label, large[j].label), float(d[i, j])) for i in range(len(large)) for j in near[i]}
-        tried = budgeted(list(cand), neighbors)
-        merges = []
-        if tried:
-            pairs = F.broadcast(spark.createDataFrame([(int(a), int(b)) for a, b, _ in tried], "a bigint, b bigint"))
-            merges = [(r.a, r.b) for r in pair_distances(lab, cents, pairs).where(F.col("d2") <= s).collect()]
-        moved = _union(merges)
-        if moved:
-            lab = lab.join(F.broadcast(spark.createDataFrame(list(moved.items()), "label bigint, root bigint")), "label", "left").withColumn("label", F.coalesce("root", "label")).drop("root")
-        lab = work.write(lab)
-        # outliers: nearest large cluster by centroid, then by points
-        now = work.write(centroids(lab))
-        big = now.where(F.col("n") > outlier).orderBy(F.desc("n"), "label").limit(MOST_CLUSTERS).select(F.col("label").alias("b"), F.col("centroid").alias("cb"))
-        few = now.where(F.col("n") <= outlier).select(F.col("label").alias("a"), "centroid")
-        to = few.crossJoin(F.broadcast(big)).groupBy("a").agg(F.min_by("b", F.struct(square_distance(F.col("centroid"), F.col("cb")), "b")).alias("b"))  # clusters against at most MOST_CLUSTERS centroids
-        kept = pair_distances(lab, now, to).where(F.col("d2") <= s * outlier_factor).select(F.col("a").alias("label"), F.col("b").alias("root"))
-        lab = lab.join(kept, "label", "left").withColumn("label", F.coalesce("root", "label"))
+    perm, _ = order_search(pts, dims, bits, outlier, skip, trials=trials, rounds=rounds, seed=seed, strategy=strategy)
+    index, gaps, s, _ = measure_order(pts, perm, dims, bits, outlier, skip)
+    s = merge_distance if merge_distance and merge_distance > 0 else s
+    runs = work.write(islands(index, gaps, s))
+    ties = revisited(index, runs, s)
+    if start is not None:
+        held = start.where("label is not null").join(runs.select("id", "island"), "id")
+        first = held.groupBy("label").agg(F.min("island").alias("a"))
+        ties = ties.unionByName(held.join(first, "label").select("a", F.col("island").alias("b")).distinct())
+    lab = renamed(runs.select("id", F.col("island").alias("label")), joined_names(work.write(ties)))
+    lab = work.write(lab.join(pts, "id").select("id", "coords", "label"))
+    near = closest_clusters(lab, neighbors, s, outlier, exact).select("a", "b")
+    lab = work.write(renamed(lab, joined_names(near)).select("id", "coords", "label"))
+    lab = work.write(merge_outliers(lab, neighbors, int(s * outlier_factor), outlier).select("id", "label"))
     names = lab.groupBy("label").agg(F.min("id").alias("name"))
     return lab.join(names, "label").select("id", F.col("name").alias("label")), s
 
 
-def density_split(points: DataFrame, bits: int, limit: int, window: int = 50, largest: int = 100_000) -> DataFrame:
+def density_split(points: DataFrame, dims: int, bits: int, limit: int, window: int = 50, radius: int | None = None, mergeable_shrinkage: float = 0.0, unmergeable_fraction: float = 1 / 6) -> DataFrame:
     """``(id, label, part)``: each cluster of ``points(id, coords, label)`` split where density falls.
 
-    Along the cluster's own curve order, points within ``limit`` of their neighbours are tied, densest first, unless both sides already hold a sixth of
-    the cluster (two points at least). Parts are named by their smallest id. A cluster above ``largest`` points stays whole, so a task stays bounded.
+    Along the cluster's own curve order neighbours within ``limit`` are tied, densest first (the greater density of the two; points within ``radius``, ``limit`` if not given), unless
+    both sides already hold ``unmergeable_fraction`` of the cluster, two points at least. Then every part below that size joins the part above it that is nearest by its closest points, if there is one. With a
+    ``mergeable_shrinkage`` above 0, parts whose joint radius over the sum of theirs is at most that become one, transitively. Parts are named by their smallest id.
+    Orders, densities and distances are distributed; a stretch of steps within the limit is tied in one task, which holds five numbers a point, whatever its size.
     """
-    n = points.groupBy("label").agg(F.count("*").alias("n"))
-    x = points.join(n, "label")
-
-    def split(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, c = pdf.id.to_numpy(), np.stack(pdf.coords.to_numpy()).astype(np.int64)
-        keys = interleave(to_transposed(c, bits), bits)
-        o = np.lexsort((ids, *keys.T[::-1]))
-        ids, c = ids[o], c[o]
-        k, w = len(ids), min(window, len(ids) - 1)
-        density = np.zeros(k, np.int64)
-        edges = []
-        for s in range(1, w + 1):
-            d2 = np.square(c[s:] - c[:-s]).sum(axis=1)
-            near = np.nonzero(d2 <= limit)[0]
-            density[near] += 1
-            density[near + s] += 1
-            if s <= 2:
-                edges.append(np.stack([near, near + s]))
-        root, size, cap = np.arange(k), np.ones(k, np.int64), max(2, k // 6)
-
-        def find(i):
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
+    work = Stages(points.sparkSession, "density")
+    p = points.where("label is not null").select("id", "coords", F.col("label").alias("_of"))
+    keyed = p.withColumn("hkey", curve_key(F.col("coords"), dims, bits))
+    index = work.write(global_positions(keyed, ["_of", "hkey", "id"]).drop("hkey"))
+    ends = work.write(index.groupBy("_of").agg(F.min("pos").alias("low"), F.max("pos").alias("high"), F.count("*").alias("n")))
+    ends = ends.withColumn("cap", F.greatest(F.lit(2), F.floor(F.col("n") * unmergeable_fraction + 1e-9)).cast("long"))
+    density = work.write(window_density(index.join(ends, "_of"), window, limit if radius is None else radius, bounds=("low", "high")))
+    before = index.select((F.col("pos") + 1).alias("pos"), F.col("_of").alias("of0"), F.col("coords").alias("c0"))
+    steps = index.join(before, "pos").where((F.col("_of") != F.col("of0")) | (square_distance(F.col("coords"), F.col("c0")) > limit)).select("pos", F.lit(1).alias("d2"))
+    runs = work.write(islands(index, steps, 0))
+    rows = runs.join(density, "id").join(index.select("id", "_of"), "id").join(ends, "_of").select("island", "pos", "id", "density", "cap")
+
+    def tie(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos")
+        ids, d, k, most = pdf.id.to_numpy(), pdf.density.to_numpy(), len(pdf), int(pdf.cap.iloc[0])
+        left, size = np.arange(k), np.ones(k, np.int64)  # parts are ranges: the first place of a part, and its size there
+
+        def first_of(i):
+            while left[i] != i:
+                left[i] = left[left[i]]
+                i = left[i]
             return i
 
-        if edges:
-            e = np.concatenate(edges, axis=1)
-            for i, j in e[:, np.argsort(-np.maximum(density[e[0]], density[e[1]]), kind="stable")].T:
-                a, b = find(i), find(j)
-                if a != b and not (size[a] >= cap and size[b] >= cap):
-                    if size[a] < size[b]:
-                        a, b = b, a
-                    root[b], size[a] = a, size[a] + size[b]
-        top = np.array([find(i) for i in range(k)])
-        least = pd.Series(ids).groupby(top).transform("min").to_numpy()
-        return pd.DataFrame({"id": ids, "label": pdf.label.iloc[0], "part": least})
-
-    kind = points.schema["label"].dataType.simpleString()
-    done = x.where(F.col("n") <= largest).select("id", "coords", "label").groupBy("label").applyInPandas(split, f"id bigint, label {kind}, part bigint")
-    whole = x.where(F.col("n") > largest)
-    first = whole.groupBy("label").agg(F.min("id").alias("part"))
-    return done.unionByName(whole.join(first, "label").select("id", "label", "part"))
+        for i in np.argsort(-np.maximum(d[:-1], d[1:]), kind="stable").tolist():
+            a, b = first_of(i), i + 1
+            if size[a] < most or size[b] < most:
+                left[b] = a
+                size[a] += size[b]
+        head = np.nonzero(left == np.arange(k))[0]
+        part = np.repeat(np.minimum.reduceat(ids, head), np.diff(np.append(head, k)))
+        return pd.DataFrame({"id": ids, "part": part})
+
+    tied = rows.groupBy("island").applyInPandas(tie, "id bigint, part bigint")
+    parts = work.write(index.select("id", "coords", "_of").join(tied, "id").join(ends.select("_of", "cap"), "_of"))
+    sizes = parts.groupBy("_of", "part", "cap").agg(F.count("*").alias("n")).withColumn("small", F.col("n") < F.col("cap"))
+    x = parts.join(sizes.select("part", "small"), "part").select(F.xxhash64("_of").alias("pair"), F.col("part").alias("label"), "id", "coords", "small")
+    x = work.write(x)
+    to = nearest_between(x.where("small").drop("small"), x.where("not small").drop("small")).select(F.col("label").alias("name"), F.col("other").alias("root"))
+    now = work.write(renamed(parts.select("id", "coords", "_of", F.col("part").alias("label")), to).select("id", "coords", "_of", "label"))
+    if mergeable_shrinkage > 0:
+        of = now.select("_of", F.col("label").alias("a")).distinct()
+        two = of.join(of.withColumnRenamed("a", "b"), "_of").where("a < b").select("a", "b")  # parts of one cluster: those left are at least a sixth of it, so few
+        close = shrinkage(now.select("id", "coords", "label"), two).where(F.col("shrinkage") <= mergeable_shrinkage).select("a", "b")
+        now = work.write(renamed(now, joined_names(close)))
+    names = now.groupBy("label").agg(F.min("id").alias("part"))
+    return now.join(names, "label").select("id", F.col("_of").alias("label"), "part")

@@ -1,7 +1,9 @@
 """Operators along an order: neighbour distances, characteristic distance, cluster counts, densities, runs."""
 
-from __future__ import annotations
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,20 +44,59 @@ def characteristic_distance(gaps: DataFrame, points: int, skip: int) -> DataFram
     return m.select("idx", "s", "median")
 
 
+def heads_before(index: DataFrame, marks: DataFrame, name: str = "head") -> DataFrame:
+    """``index`` with the last position of ``marks(pos)`` at or before each row, null before the first. Positions are cut into ranges; each range carries over the last
+    mark of the ranges before it, so no window runs over all rows."""
+    x = index.join(marks.select("pos").distinct().withColumn("_head", F.col("pos")), "pos", "left")
+    n = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x = x.withColumn("_part", F.floor(F.col("pos") / max(1, -(-index.count() // n))))
+    carry = x.groupBy("_part").agg(F.max("_head").alias("last"))
+    carry = carry.withColumn("_carry", F.max("last").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).select("_part", "_carry")  # a row per range
+    w = Window.partitionBy("_part").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    return x.withColumn("_seen", F.max("_head").over(w)).join(F.broadcast(carry), "_part").withColumn(name, F.coalesce("_seen", "_carry")).drop("_head", "_part", "_carry", "_seen")
+
+
 def islands(index: DataFrame, gaps: DataFrame, limit: int) -> DataFrame:
-    """``(id, pos, island)``: runs along the curve that no step above ``limit`` breaks, named by their first position. The heads are ranges of positions:
-    each point finds its head by the largest break at or before it, carried over range partitions."""
-    breaks = gaps.where(F.col("d2") > limit).select("pos").withColumn("head", F.col("pos"))
-    x = index.select("id", "pos").join(breaks, "pos", "left")
-    spark = index.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = index.count()
-    width = max(1, -(-rows // n))
-    x = x.withColumn("part", F.floor(F.col("pos") / width))
-    carry = x.groupBy("part").agg(F.max("head").alias("last"))
-    carry = carry.withColumn("carry", F.max("last").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).select("part", "carry")  # a row per part
-    w = Window.partitionBy("part").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return x.withColumn("seen", F.max("head").over(w)).join(F.broadcast(carry), "part").select("id", "pos", F.coalesce("seen", "carry", F.lit(0).cast("long")).alias("island"))
+    """``(id, pos, island)``: runs along the curve that no step above ``limit`` breaks, named by their first position."""
+    return heads_before(index.select("id", "pos"), gaps.where(F.col("d2") > limit)).select("id", "pos", F.coalesce("head", F.lit(0).cast("long")).alias("island"))
+
+
+def revisited(index: DataFrame, runs: DataFrame, limit: int) -> DataFrame:
+    """``(a, b)``: pairs of islands that a walk along the curve ties when it comes back to the cluster it has left.
+
+    ``index(id, pos, coords)``, ``runs(id, pos, island)``. Where a step breaks the walk, the point is compared with the last point that joined a cluster; if near it joins that one and is
+    itself the last. Only points between the end of one island of several points and the head of the next such island can do so: each of these stretches is walked by
+    itself, in one pass over batches that keeps a single point.
+    """
+    sizes = runs.groupBy("island").agg(F.count("*").alias("n"), F.max("pos").alias("tail"))
+    r = runs.join(sizes, "island")
+    # the walk of a stretch starts at the tail of an island of several points; heads of islands follow
+    turns = r.where("pos = island or (n > 1 and pos = tail)").select("pos", "island", "n", "tail")
+    starts = turns.where("n > 1 and pos = tail").select("pos")
+    both = heads_before(index.select("pos", "coords"), starts, "stretch").where("stretch is not null").join(turns, "pos")
+    # a head that ends a stretch belongs to the stretch before it, its own tail starts the next
+    rows = both.select("stretch", "pos", "island", "coords")
+
+    def walk(key, batches):
+        last = None
+        for t in batches:
+            for pos, island, c in zip(t["pos"].to_pylist(), t["island"].to_pylist(), t["coords"].to_pylist(), strict=True):
+                x = np.array(c, np.int64)
+                if last is None:
+                    last = (island, x, pos)
+                elif pos != last[2] and np.square(x - last[1]).sum() <= limit and island != last[0]:
+                    yield pa.RecordBatch.from_pydict({"a": pa.array([last[0]], pa.int64()), "b": pa.array([island], pa.int64())})
+                    last = (last[0], x, pos)
+
+    ordered = rows.repartition("stretch").sortWithinPartitions("stretch", "pos")
+    return ordered.groupBy("stretch").applyInArrow(_typed(walk), "a bigint, b bigint")
+
+
+def _typed(walk):
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from walk(key, batches)
+
+    return run
 
 
 def cluster_count(isles: DataFrame, outlier: int) -> DataFrame:
@@ -64,13 +105,18 @@ def cluster_count(isles: DataFrame, outlier: int) -> DataFrame:
     return n.agg(F.count("*").alias("with_outliers"), F.count_if(F.col("count") > outlier).alias("clusters"), F.coalesce(F.sum(F.when(F.col("count") <= outlier, F.col("count"))), F.lit(0)).alias("outlier_points"))
 
 
-def window_density(index: DataFrame, window: int, limit: int) -> DataFrame:
-    """``(id, density)``: points within square distance ``limit`` among the 2 * window nearest positions, the window shifted at both ends."""
-    n = index.count()
-    lo = F.greatest(F.lit(0), F.least(F.col("pos") - window, F.lit(n - 1 - 2 * window)))
-    w = index.select("id", "coords", F.explode(F.sequence(lo, F.least(lo + 2 * window, F.lit(n - 1)))).alias("at"))
+def window_density(index: DataFrame, window: int, limit: int, bounds: tuple[str, str] | None = None, estimator=None) -> DataFrame:
+    """``(id, density)``: points within square distance ``limit`` among the 2 * window nearest positions, the window shifted at both ends.
+
+    ``bounds`` names columns with the first and last position of the row's own range, so that windows don't leave it. ``estimator`` is an aggregate expression
+    over the columns ``d2`` (square distance to a point of the window, the point itself not among them) that replaces the count.
+    """
+    first, last = (F.col(bounds[0]), F.col(bounds[1])) if bounds else (F.lit(0), F.lit(index.count() - 1))
+    lo = F.greatest(first, F.least(F.col("pos") - window, last - 2 * window))
+    w = index.select("id", "coords", F.explode(F.sequence(lo, F.least(lo + 2 * window, last))).alias("at"))
     o = index.select(F.col("pos").alias("at"), F.col("id").alias("o"), F.col("coords").alias("oc"))
-    return w.join(o, "at").groupBy("id").agg(F.count_if((F.col("id") != F.col("o")) & (square_distance(F.col("coords"), F.col("oc")) <= limit)).alias("density"))
+    met = w.join(o, "at").withColumn("d2", F.when(F.col("id") != F.col("o"), square_distance(F.col("coords"), F.col("oc"))))
+    return met.groupBy("id").agg((estimator if estimator is not None else F.count_if(F.coalesce(F.col("d2") <= limit, F.lit(False)))).alias("density"))
 
 
 def density_rank(density: DataFrame) -> DataFrame:

@@ -23,10 +23,11 @@ def radii(points: DataFrame, by: str = "label") -> DataFrame:
 
 
 def shrinkage(points: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``(a, b, shrinkage)`` of joining two clusters: (2 max + mean) radius of both together over the sum of the parts'."""
+    """``(a, b, shrinkage)`` of joining two clusters of ``pairs(a, b)``: (2 max + mean) radius of both together over the sum of the parts'; null if both parts are single places."""
     weight = 2 * F.col("max_radius") + F.col("mean_radius")
     single = radii(points).select("label", weight.alias("w"))
-    both = pairs.join(points, (F.col("label") == F.col("a")) | (F.col("label") == F.col("b"))).select(F.struct("a", "b").alias("pair"), "id", "coords")
+    sides = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("label"))
+    both = sides.join(points.select("label", "id", "coords"), "label").select(F.struct("a", "b").alias("pair"), "id", "coords")
     joined = radii(both, "pair").select("pair.a", "pair.b", weight.alias("w"))
     s = joined.join(single.select(F.col("label").alias("a"), F.col("w").alias("wa")), "a").join(single.select(F.col("label").alias("b"), F.col("w").alias("wb")), "b")
     return s.select("a", "b", (F.col("w") / F.nullif(F.col("wa") + F.col("wb"), F.lit(0.0))).alias("shrinkage"))
@@ -100,3 +101,9 @@ def kendall_tau(rows: DataFrame) -> DataFrame:
     p = a.join(b, F.col("id") < F.col("j")).select(F.signum(F.col("x") - F.col("u")).alias("s"), F.signum(F.col("y") - F.col("v")).alias("t"))
     r = p.agg(F.sum(F.col("s") * F.col("t")).alias("k"), F.count("*").alias("n"), F.sum(F.abs("s")).alias("nx"), F.sum(F.abs("t")).alias("ny"))
     return r.select((F.col("k") / F.col("n")).alias("tau_a"), (F.col("k") / F.sqrt(F.col("nx") * F.col("ny"))).alias("tau_b"))
+
+
+def key_range(rows: DataFrame, key: str) -> DataFrame:
+    """One row ``(low, high, n, dense)`` of an integer key; dense if the range holds at most twice as many numbers as there are distinct keys. No keys: nulls and 0."""
+    r = rows.agg(F.min(key).alias("low"), F.max(key).alias("high"), F.count(key).alias("n"), F.count_distinct(F.col(key)).alias("kinds"))
+    return r.select("low", "high", "n", F.coalesce(F.col("high") - F.col("low") + 1 <= 2 * F.col("kinds"), F.lit(False)).alias("dense"))

@@ -31,12 +31,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors share: ``spark.checkpoint.dir`` of the session, a temporary one only where it is unset."""
+    """Folder all executors share: ``spark.checkpoint.dir`` of the session. Only in local mode a temporary one stands in where it is unset; on a cluster that is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         kept = spark.sparkContext._jsc.sc().getCheckpointDir()
         where = kept.get() if kept.isDefined() else None
     if not where:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="curveloom-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")

@@ -1,6 +1,9 @@
+from dataclasses import replace
+
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from curveloom.sources import delimited as D
 from curveloom.sources.files import PointFile, read_points, read_probe, read_ratings, write_points
@@ -90,13 +93,17 @@ def test_files(spark, tmp_path):
 
 def test_cli(spark, tmp_path):
     from curveloom import cli, datagen
-    from curveloom.config import Classifier, Config
+    from curveloom.config import Classifier, Config, Density, Index
 
     x, y = datagen.gaussian_clusters(3, 10, (40, 60), seed=4)
     (tmp_path / "p.csv").write_text("id,cat," + ",".join(f"x{i}" for i in range(10)) + "\n" + "".join(f"{i},{c}," + ",".join(map(str, p)) + "\n" for i, (p, c) in enumerate(zip(x.tolist(), y.tolist(), strict=True))))
-    c = Config(input=str(tmp_path / "p.csv"), data=PointFile("id", "cat"), classifier=Classifier())
+    c = Config(input=str(tmp_path / "p.csv"), data=PointFile("id", "cat"), index=Index(max_trials=8), classifier=Classifier(exact_distance=True), density=Density(skip=True))
     c.write(str(tmp_path / "c.json"))
     assert Config.read(str(tmp_path / "c.json")) == c
     out, score = cli.cluster(spark, c)
-    assert out.count() == len(x) and score > 0.5
+    assert out.count() == len(x) and score > 0.9
+    split, _ = cli.cluster(spark, replace(c, density=Density(mergeable_shrinkage=0.9)))
+    both = split.select("id", F.split("label", "-")[0].alias("of"), "label").join(out.select("id", F.col("label").alias("whole")), "id")
+    assert split.count() == len(x) and both.where("of <> cast(whole as string)").count() == 0  # parts refine clusters
+    assert [cli.command(t) for t in ("a", "--Cluster", "r", "assemble", "", "-v", "define", "h")] == ["assess", "cluster", "recluster", "help", "help", "version", "define", "help"]
     assert cli.assess(spark, c).first().points == len(x)

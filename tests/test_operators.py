@@ -105,7 +105,10 @@ def test_classify(spark):
     labels, s = classify.curve_classify(p, 30, 10)
     assert s > 0 and labels.count() == len(x)
     assert stats.b_cubed(p, labels).first().f >= 0.99
-    parts = classify.density_split(p, 10, s)
+    start = p.select("id", F.when(F.col("id") < 5, 7).alias("label"))
+    again, _ = classify.curve_classify(p, 30, 10, start=start)
+    assert len({r.label for r in again.where("id < 5").collect()}) == 1
+    parts = classify.density_split(p, 30, 10, s)
     assert parts.count() == len(x)
 
 
