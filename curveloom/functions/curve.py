@@ -127,3 +127,8 @@ def bits_needed(n: Column) -> Column:
 def prefix(key: Column, dims: int, bits: int, to_bits: int) -> Column:
     """Key of the same point at fewer bits: the leading part of its full key (``bigint`` keys)."""
     return F.shiftright(key, dims * (bits - to_bits))
+
+
+def curve_distance(a: Column, b: Column) -> Column:
+    """Steps along the curve between two ``bigint`` keys."""
+    return F.abs(a - b)

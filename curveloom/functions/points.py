@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import math
+import random
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -36,6 +39,46 @@ def permute(coords: Column, mapping: list[int]) -> Column:
     return F.transform(F.array(*[F.lit(i) for i in mapping]), lambda i: F.get(coords, i))
 
 
+def identity_mapping(dims: int) -> list[int]:
+    return list(range(dims))
+
+
+def random_mapping(dims: int, seed: int) -> list[int]:
+    out = list(range(dims))
+    random.Random(seed).shuffle(out)
+    return out
+
+
+def inverse_mapping(mapping: list[int]) -> list[int]:
+    """The mapping that undoes another: permuting by both gives the point back."""
+    out = [0] * len(mapping)
+    for i, m in enumerate(mapping):
+        out[m] = i
+    return out
+
+
+def all_permutations(spark: SparkSession, n: int) -> DataFrame:
+    """``(perm array<int>)``: every permutation of 0 .. n - 1, decoded from its number in the factorial base; n of at most 12."""
+    if n > 12:
+        raise ValueError("too many permutations")
+    x = spark.range(math.factorial(n)).select("id", F.array(*map(F.lit, range(n))).alias("rest"), F.expr("cast(array() as array<int>)").alias("perm"))
+    for k in range(n, 0, -1):
+        at = F.expr(f"cast(id div {math.factorial(k - 1)} % {k} as int)")
+        x = x.withColumn("_at", at).select("id", F.concat("perm", F.array(F.get("rest", F.col("_at")))).alias("perm"), F.filter("rest", lambda v, i: i != F.col("_at")).alias("rest"))
+    return x.select("perm")
+
+
+def sparse_get(values: Column, d: int, missing: Column) -> Column:
+    """A coordinate of a sparse point ``map<int, int>``."""
+    return F.coalesce(F.try_element_at(values, F.lit(d)), missing)
+
+
+def sparse_square_distance(a: Column, b: Column, missing: Column) -> Column:
+    """Of two sparse points with the same value for missing coordinates: only dimensions that either has are touched."""
+    diff = lambda d: (F.coalesce(F.try_element_at(a, d), missing) - F.coalesce(F.try_element_at(b, d), missing)).cast("long")
+    return F.aggregate(F.array_union(F.map_keys(a), F.map_keys(b)), F.lit(0).cast("long"), lambda s, d: s + diff(d) * diff(d))
+
+
 def densify(values: Column, dims: int, missing: Column) -> Column:
     """Dense coordinates of a sparse point ``map<int, int>``."""
     return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.coalesce(F.try_element_at(values, d), missing))

@@ -49,3 +49,14 @@ def tied_groups(keyed: DataFrame, dims: int, bits: int, to_bits: int) -> DataFra
 def sample_exact(rows: DataFrame, k: int, seed: int, id: str = "id") -> DataFrame:
     """Exactly k rows (all, if fewer), by a keyed hash: the same ones whatever the partitioning."""
     return rows.orderBy(F.xxhash64(F.lit(seed), F.col(id)), id).limit(k)
+
+
+def sample_by(rows: DataFrame, key: str, k: int, seed: int, id: str = "id") -> DataFrame:
+    """Exactly k rows of each key (all, if fewer), by a keyed hash; each task keeps at most k of a key before the shuffle. Null keys are a key."""
+    w = Window.partitionBy(key).orderBy(F.xxhash64(F.lit(seed), F.col(id)), id)
+    return rows.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).drop("_rn")
+
+
+def shuffled(rows: DataFrame, seed: int, id: str = "id") -> DataFrame:
+    """Rows with their ``place`` (from 0) in a random order, the same whatever the partitioning."""
+    return global_positions(rows.withColumn("_draw", F.xxhash64(F.lit(seed), F.col(id))), ["_draw", id], "place").drop("_draw")
