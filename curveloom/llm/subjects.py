@@ -9,6 +9,7 @@ import unicodedata
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -63,7 +64,7 @@ def automaton(terms: dict[str, tuple[str, float]], joined: set):
         hits = list(a.iter(line))
         if not hits:
             return []
-        single, tied, blanks = {}, set(), [i for i, c in enumerate(line) if c == " "]
+        single, tied, blanks = {}, set(), list(accumulate((len(w) + 1 for w in words), initial=0))
         for end, (n, size, subject, weight) in hits:
             at = bisect_left(blanks, end - size + 1)
             if n == 1:
