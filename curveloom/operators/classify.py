@@ -84,24 +84,30 @@ def order_search(points: DataFrame, dims: int, bits: int, outlier: int = 5, skip
     """
     spark = points.sparkSession
     rng, count = np.random.default_rng(seed), metric or default_metric
+    points = Stages(spark, "searched").write(points.select("id", "coords"))
     best = list(range(dims))
     n = points.count()
     if n < 2:
         return best, int(n > outlier)
-    first = measure_order(points, best, dims, bits, outlier, skip)[3]
-    size = int(min(n, max(2000, min(1.0, 100 / (n / max(1, first))) * n)))
-    fewest, idle, rejected = first, 0, set()
-    every = itertools.permutations(reversed(range(dims))) if dims <= 7 else None
-
-    def measuring(perms: list[list[int]]):
+    def measuring(perms: list[list[int]], how: Callable):
         def measure(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
             ids, x = pdf.id.to_numpy(), np.stack(pdf.coords.to_numpy()).astype(np.int64)
             keys = interleave(to_transposed(x[:, perms[key[0]]], bits), bits)
             o = np.lexsort((ids, *keys.T[::-1]))
-            return pd.DataFrame({"trial": [key[0]], "clusters": [count(np.square(np.diff(x[o], axis=0)).sum(axis=1), outlier, skip)]})
+            return pd.DataFrame({"trial": [key[0]], "clusters": [how(np.square(np.diff(x[o], axis=0)).sum(axis=1), outlier, skip)]})
 
         return measure
 
+    def kernel(perms: list[list[int]], rows: DataFrame, how: Callable = default_metric) -> dict[int, int]:
+        tried = rows.select("id", "coords", F.explode(F.array(*map(F.lit, range(len(perms))))).alias("trial"))
+        return {row.trial: row.clusters for row in tried.groupBy("trial").applyInPandas(measuring(perms, how), "trial int, clusters int").collect()}
+
+    counted = lambda perm: kernel([perm], points)[0] if n <= TASK_ROWS else measure_order(points, perm, dims, bits, outlier, skip)[3]
+    first = counted(best)
+    size = int(min(n, max(2000, min(1.0, 100 / (n / max(1, first))) * n)))
+    fewest, idle, rejected = first, 0, set()
+    every = itertools.permutations(reversed(range(dims))) if dims <= 7 else None
+
     work = Stages(spark, "search")
     sample = work.write(sample_exact(points.select("id", "coords"), size, seed)) if size < n else work.write(points.select("id", "coords"))
     for r in range(rounds):
@@ -109,8 +115,7 @@ def order_search(points: DataFrame, dims: int, bits: int, outlier: int = 5, skip
         if not perms or fewest <= 2:
             break
         if size <= TASK_ROWS or metric:
-            tried = sample.withColumn("trial", F.explode(F.array(*map(F.lit, range(len(perms))))))
-            got = {row.trial: row.clusters for row in tried.groupBy("trial").applyInPandas(measuring(perms), "trial int, clusters int").collect()}
+            got = kernel(perms, sample, count)
         else:
             got = {k: measure_order(sample, p, dims, bits, outlier, skip)[3] for k, p in enumerate(perms)}
         trusted = {k: c for k, c in got.items() if c >= first / 4 or size == n}
@@ -125,7 +130,7 @@ def order_search(points: DataFrame, dims: int, bits: int, outlier: int = 5, skip
             idle += 1
         if idle >= patience:
             break
-    return best, measure_order(points, best, dims, bits, outlier, skip)[3]
+    return best, counted(best)
 
 
 def merge_outliers(points: DataFrame, neighbors: int, limit: int | None, least: int) -> DataFrame:

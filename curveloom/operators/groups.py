@@ -2,12 +2,31 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import Stages
 
-ROUNDS = 80
+#: Most rounds, and pairs up to which one task joins them all, with the same result.
+ROUNDS, TASK_PAIRS = 80, 200_000
+
+
+def _in_one_task(batches):
+    t = pa.Table.from_batches(batches, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+    names, at = np.unique(np.concatenate([t["a"].to_numpy(), t["b"].to_numpy()]), return_inverse=True)
+    a, b, root = at[: len(t)], at[len(t) :], np.arange(len(names))
+    while True:
+        new = root.copy()
+        np.minimum.at(new, a, root[b])
+        np.minimum.at(new, b, root[a])
+        np.minimum.at(new, root, new)
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    yield from pa.table({"name": names, "root": names[root]}).to_batches()
 
 
 def joined_names(pairs: DataFrame) -> DataFrame:
@@ -17,7 +36,10 @@ def joined_names(pairs: DataFrame) -> DataFrame:
     pairs with a null end tie nothing; no pairs give no rows; an unfinished search is an error.
     """
     work = Stages(pairs.sparkSession, "joined")
-    e = pairs.where("a is not null and b is not null").select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x")).select("x.*").distinct()
+    pairs = work.write(pairs.where("a is not null and b is not null").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")))
+    if pairs.count() <= TASK_PAIRS:
+        return work.write(pairs.repartition(1).mapInArrow(_in_one_task, "name bigint, root bigint"))
+    e = pairs.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x")).select("x.*").distinct()
     e = work.write(e)
     at = work.write(e.groupBy(F.col("a").alias("name")).agg(F.min("b").alias("m")).select("name", F.least("name", "m").alias("root")))
     for _ in range(ROUNDS):

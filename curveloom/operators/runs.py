@@ -56,6 +56,16 @@ def heads_before(index: DataFrame, marks: DataFrame, name: str = "head") -> Data
     return x.withColumn("_seen", F.max("_head").over(w)).join(F.broadcast(carry), "_part").withColumn(name, F.coalesce("_seen", "_carry")).drop("_head", "_part", "_carry", "_seen")
 
 
+def running_count(index: DataFrame, flag, name: str) -> DataFrame:
+    """``index`` with the number of rows up to each position for which ``flag`` holds; ranges of positions are counted by themselves and shifted by those before."""
+    n = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x = index.withColumn("_part", F.floor(F.col("pos") / max(1, -(-index.count() // n)))).withColumn("_one", F.coalesce(flag, F.lit(False)).cast("long"))
+    sums = x.groupBy("_part").agg(F.sum("_one").alias("n"))
+    sums = sums.withColumn("_before", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")  # a row per range
+    w = Window.partitionBy("_part").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    return x.withColumn("_in", F.sum("_one").over(w)).join(F.broadcast(sums), "_part").withColumn(name, F.col("_before") + F.col("_in")).drop("_part", "_one", "_in", "_before")
+
+
 def islands(index: DataFrame, gaps: DataFrame, limit: int) -> DataFrame:
     """``(id, pos, island)``: runs along the curve that no step above ``limit`` breaks, named by their first position."""
     return heads_before(index.select("id", "pos"), gaps.where(F.col("d2") > limit)).select("id", "pos", F.coalesce("head", F.lit(0).cast("long")).alias("island"))

@@ -81,6 +81,29 @@ def tokenize(lines: list[bytes], seps: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return error, fields, first, f_start, cuts
 
 
+def line_maps(lines: DataFrame, separator: str = "comma") -> DataFrame:
+    """``lines`` with ``from_closed`` and ``from_open``: whether a quote is open behind ``raw_line`` if none, or one, is open before it."""
+    sep = 9 if separator == "tab" else 44
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            raw = [(x or "").encode("utf-8", "surrogatepass") for x in b["raw_line"].to_pylist()]
+            both = [x.replace(b"\n", b" ") for x in raw] + [b'"' + x.replace(b"\n", b" ") for x in raw]  # a quote in front opens one
+            stop = np.cumsum([len(x) + 1 for x in both]) - 1
+            data = np.frombuffer(b"\n".join(both) + b"\n", np.uint8)
+            classes = np.where(data == sep, SEP, np.where(data == 0x22, QUOTE, OTHER)).astype(np.int8)
+            classes[stop] = END
+            after = run_states(classes)
+            last = np.where(np.diff(np.concatenate([[-1], stop])) > 1, after[np.maximum(stop - 1, 0)], START) == QUOTED
+            note = np.array([x[:1] == b"#" for x in raw])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(last[: len(raw)] & ~note), pa.array(last[len(raw) :])], names=[*b.schema.names, "from_closed", "from_open"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lines.schema)
+    return lines.mapInArrow(run, kinds + ", from_closed boolean, from_open boolean")
+
+
 _OUT = pa.schema([("file_id", pa.int32()), ("line_no", pa.int64()), ("reason", pa.string()), ("offset", pa.int64()), ("id", pa.string()), ("category", pa.string()), ("coords", pa.list_(pa.int32()))])
 
 

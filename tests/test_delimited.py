@@ -107,3 +107,30 @@ def test_cli(spark, tmp_path):
     assert split.count() == len(x) and both.where("of <> cast(whole as string)").count() == 0  # parts refine clusters
     assert [cli.command(t) for t in ("a", "--Cluster", "r", "assemble", "", "-v", "define", "h")] == ["assess", "cluster", "recluster", "help", "help", "version", "define", "help"]
     assert cli.assess(spark, c).first().points == len(x)
+
+
+def test_records_over_lines(spark, tmp_path):
+    f = tmp_path / "p.csv"
+    f.write_text('id,cat,x,y\n1,"x\ny",3,4\n2,"open,5,6\n3,b,7,8\n# a "note\n4,"c ""d\n\n# e",9,10\r\n5,f,11,z\n6,"g\n')
+    good, bad = read_points(spark, str(f), PointFile("id", "cat"))
+    assert {(r.line_no, r.id, r.category, tuple(r.coords)) for r in good.collect()} == {(2, "1", "x\ny", (3, 4)), (5, "3", "b", (7, 8)), (7, "4", 'c "d\n\n# e', (9, 10))}
+    assert {(r.line_no, r.reason) for r in bad.collect()} == {(4, "quoting"), (10, "value"), (11, "quoting")}
+
+
+def test_records_across_splits(spark, tmp_path):
+    """Against one pass over the file: many records of one to four lines, splits of 200 bytes."""
+    rng, text, want, line = np.random.default_rng(3), "", set(), 1
+    for i in range(400):
+        n = int(rng.integers(0, 4)) if i % 3 == 0 else 0
+        cat = "a" if not n else '"' + "\n".join(rng.choice(["b", 'c""', ",d", "#"], n + 1)) + '"'
+        text += f"{i},{cat},{i % 7}\n"
+        want.add((line, i))
+        line += 1 + n
+    (tmp_path / "p.csv").write_text(text)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+        good, bad = read_points(spark, str(tmp_path / "p.csv"), PointFile("1", "2", read_header=False))
+        assert {(r.line_no, int(r.id)) for r in good.collect()} == want and bad.count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
