@@ -21,7 +21,7 @@ def connected_groups(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     ordered the chosen ones form trees with one two-node cycle each, cut at its smaller node. Trees collapse by pointer doubling, edges
     are relabelled and made distinct, until none is left. All tables stay distributed; a node with very many edges is pre-reduced by
     the map-side part of ``min`` and its joins are split by adaptive execution. Rows with a null end and loops tie nothing;
-    a node that has only such rows isn't in the result; an empty input gives an empty result.
+    a node that has only such rows isn't in the result; an empty input gives an empty result. Edges left after ``max_rounds`` (each at least halves the components) are an error.
     """
     spark = edges.sparkSession
     work = Stages(spark, "groups")
@@ -54,6 +54,8 @@ def connected_groups(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         work.drop(old)
         if e.isEmpty():
             break
+    else:
+        raise RuntimeError(f"edges are left after {max_rounds} rounds")
     out = maps.pop()
     while maps:  # roots of a round are nodes of the next one, or roots for good
         nxt = out.select(F.col("node").alias("root"), F.col("root").alias("higher"))

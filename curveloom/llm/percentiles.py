@@ -117,6 +117,13 @@ def readings(values: DataFrame) -> DataFrame:
     return v.groupBy("reading_id").agg(*[F.min(c).alias(c) for c in ("dataset_id", "dim_no", "obs_day", "coord")]).select("dataset_id", "dim_no", "obs_day", F.col("coord").alias("key"))
 
 
+def combined_percentiles(hist: DataFrame, groups: list[str], quantiles: list[float]) -> DataFrame:
+    """``(groups, q, low, high, rank_error)`` from saved histograms of parts (days, files) alone: the percentile lies between low and high, and any value there is off by at most
+    ``rank_error`` of the group's rows. Histograms of parts must have been made with the same shift. No histograms give no rows."""
+    at = _locate(merge_histograms(hist, groups), groups, list(quantiles))
+    return at.select(*groups, "q", F.col("lo").alias("low"), F.col("hi").alias("high"), (F.col("n") / F.col("total")).alias("rank_error"))
+
+
 DIM, DAY = ["dataset_id", "dim_no"], ["dataset_id", "dim_no", "obs_day"]
 
 
@@ -143,9 +150,24 @@ def p2_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dim.select(*DIM, F.lit(0).alias("obs_day"), "q", F.col("key").alias("value")).unionByName(day.select(*DAY, "q", F.col("key").alias("value")))
 
 
-QUERIES = {"p2_found": p2_found, "p2_percentiles": p2_percentiles}
+def p2_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quartiles over all days from the saved histograms of separate days, with buckets of 2 ** 8 values: whether the exact ones lie within the bounds given."""
+    work = Stages(spark, "days")
+    rows = work.write(readings(table(spark, sf_dir, "dimension_values")))
+    saved = None
+    for part in range(2):  # two runs, each over its own days
+        hist = work.write(digit_histogram(rows.where(F.pmod("obs_day", F.lit(2)) == part), DIM, 8))
+        saved = hist if saved is None else saved.unionByName(hist)
+    qs = [0.25, 0.5, 0.75]
+    given = combined_percentiles(saved, DIM, qs)
+    exact = radix_percentiles(rows.select(*DIM, "key"), DIM, qs, _bits(rows), work=work)
+    return given.join(exact.select(*DIM, "q", "key"), [*DIM, "q"]).select(*DIM, "q", ((F.col("key") >= F.col("low")) & (F.col("key") <= F.col("high")) & (F.col("high") - F.col("low") < 256)).alias("within"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_percentiles": p2_percentiles, "p2_combined": p2_combined}
 _READ = "r AS (SELECT reading_id, min(dataset_id) AS dataset_id, min(dim_no) AS dim_no, min(obs_day) AS obs_day, min(coord) AS coord FROM dimension_values WHERE coord >= 0 AND reading_id IS NOT NULL GROUP BY reading_id)"
 SQL = {
+    "p2_combined": f"WITH {_READ} SELECT DISTINCT dataset_id, dim_no, q::DOUBLE AS q, true AS within FROM r, (SELECT unnest([0.25, 0.5, 0.75]) AS q)",
     "p2_found": f"""WITH {_READ}, d AS (SELECT dataset_id, dim_no, obs_day, quantile_disc(coord, 0.5) AS med FROM r GROUP BY ALL),
 a AS (SELECT dataset_id, dim_no, quantile_disc(coord, 0.25) AS low, quantile_disc(coord, 0.75) AS high FROM r GROUP BY ALL)
 SELECT dataset_id, dim_no, obs_day FROM d JOIN a USING (dataset_id, dim_no) WHERE med < low OR med > high""",
