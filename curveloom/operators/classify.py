@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,13 +60,30 @@ def shrinking(perm: list[int], round_: int, rng: np.random.Generator) -> list[in
     return scramble(perm, max(min(len(perm), 5), int(len(perm) * 0.7**round_)), rng)
 
 
-def measure_order(points: DataFrame, perm: list[int], dims: int, bits: int, outlier: int, skip: int) -> tuple[DataFrame, DataFrame, int, int]:
-    """The index of all points in the order of ``perm``, its neighbour distances, the characteristic distance and the number of clusters above ``outlier`` points."""
+def merge_distance_of(gaps: DataFrame, n: int, skip: int) -> int:
+    """The characteristic distance of the steps along an order of n points; few steps are looked through in one task, with the same result."""
+    if n > TASK_ROWS:
+        return characteristic_distance(gaps, n, skip).first().s
+
+    def look(batches):
+        d = np.concatenate([b["d2"].to_numpy() for b in batches] or [np.zeros(0, np.int64)])
+        yield pa.RecordBatch.from_pydict({"s": pa.array([jump(d, skip)], pa.int64())})
+
+    return gaps.select("d2").repartition(1).mapInArrow(look, "s bigint").first().s
+
+
+def along_order(points: DataFrame, perm: list[int], dims: int, bits: int, skip: int) -> tuple[DataFrame, DataFrame, int]:
+    """The index of all points in the order of ``perm``, its neighbour distances and their characteristic distance."""
     work = Stages(points.sparkSession, "measure")
     index = work.write(global_positions(points.select("id", "coords").withColumn("hkey", curve_key(permute(F.col("coords"), perm), dims, bits)), ["hkey", "id"]))
     gaps = work.write(neighbor_distances(index))
-    s = characteristic_distance(gaps, index.count(), skip).first().s
-    return index, gaps, s, cluster_count(islands(index, gaps, s), outlier).first().clusters
+    return index, gaps, merge_distance_of(gaps, index.count(), skip)
+
+
+def measure_order(points: DataFrame, perm: list[int], dims: int, bits: int, outlier: int, skip: int) -> int:
+    """The number of clusters above ``outlier`` points when the order of ``perm`` is cut at its characteristic distance."""
+    index, gaps, s = along_order(points, perm, dims, bits, skip)
+    return cluster_count(islands(index, gaps, s), outlier).first().clusters
 
 
 def default_metric(steps: np.ndarray, outlier: int, skip: int) -> int:
@@ -89,6 +107,7 @@ def order_search(points: DataFrame, dims: int, bits: int, outlier: int = 5, skip
     n = points.count()
     if n < 2:
         return best, int(n > outlier)
+
     def measuring(perms: list[list[int]], how: Callable):
         def measure(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
             ids, x = pdf.id.to_numpy(), np.stack(pdf.coords.to_numpy()).astype(np.int64)
@@ -102,7 +121,7 @@ def order_search(points: DataFrame, dims: int, bits: int, outlier: int = 5, skip
         tried = rows.select("id", "coords", F.explode(F.array(*map(F.lit, range(len(perms))))).alias("trial"))
         return {row.trial: row.clusters for row in tried.groupBy("trial").applyInPandas(measuring(perms, how), "trial int, clusters int").collect()}
 
-    counted = lambda perm: kernel([perm], points)[0] if n <= TASK_ROWS else measure_order(points, perm, dims, bits, outlier, skip)[3]
+    counted = lambda perm: kernel([perm], points)[0] if n <= TASK_ROWS else measure_order(points, perm, dims, bits, outlier, skip)
     first = counted(best)
     size = int(min(n, max(2000, min(1.0, 100 / (n / max(1, first))) * n)))
     fewest, idle, rejected = first, 0, set()
@@ -117,7 +136,7 @@ def order_search(points: DataFrame, dims: int, bits: int, outlier: int = 5, skip
         if size <= TASK_ROWS or metric:
             got = kernel(perms, sample, count)
         else:
-            got = {k: measure_order(sample, p, dims, bits, outlier, skip)[3] for k, p in enumerate(perms)}
+            got = {k: measure_order(sample, p, dims, bits, outlier, skip) for k, p in enumerate(perms)}
         trusted = {k: c for k, c in got.items() if c >= first / 4 or size == n}
         if len(trusted) < len(got) and size not in rejected:
             rejected.add(size)
@@ -138,10 +157,11 @@ def merge_outliers(points: DataFrame, neighbors: int, limit: int | None, least:
 
     Taken in the order of distance, a pair counts only while exactly one side is still an outlier; as every pair has one larger cluster, an outlier joins the first it meets.
     """
-    n = points.groupBy("label").agg(F.count("*").alias("n"))
+    few = points.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") < least)
+    if few.isEmpty():
+        return points
     pairs = closest_outliers(points, neighbors, limit, least)
-    small = F.col("n") < least
-    few = n.where(small).select(F.col("label").alias("name"))
+    few = few.select(F.col("label").alias("name"))
     sides = pairs.select("d2", F.col("a").alias("name"), F.col("b").alias("to")).unionByName(pairs.select("d2", F.col("b").alias("name"), F.col("a").alias("to")))
     first = sides.join(few, "name").groupBy("name").agg(F.min_by("to", F.struct("d2", "to")).alias("root"))
     return renamed(points, first)
@@ -160,7 +180,7 @@ def curve_classify(points: DataFrame, dims: int, bits: int, outlier: int = 5, sk
     if n < 10:
         raise ValueError("at least ten points are needed")
     perm, _ = order_search(pts, dims, bits, outlier, skip, trials=trials, rounds=rounds, seed=seed, strategy=strategy)
-    index, gaps, s, _ = measure_order(pts, perm, dims, bits, outlier, skip)
+    index, gaps, s = along_order(pts, perm, dims, bits, skip)
     s = merge_distance if merge_distance and merge_distance > 0 else s
     runs = work.write(islands(index, gaps, s))
     ties = revisited(index, runs, s)

@@ -79,7 +79,8 @@ def exact_distances(points: DataFrame, pairs: DataFrame, limit: float | None = N
     """
     spark = points.sparkSession
     work = Stages(spark, "distances")
-    r = work.write(radii(points).select("label", "max_radius").join(centroids(points).select("label", "centroid"), "label"))
+    c = centroids(points)
+    r = work.write(points.join(c, "label").groupBy("label").agg(F.sqrt(F.max(square_distance(F.col("coords"), F.col("centroid"))).cast("double")).alias("max_radius"), F.first("centroid").alias("centroid")))
     p = work.write(pairs.select("a", "b").distinct())
     near = centroid_distances(points, r, p).select("a", "b", "d2")
     cut = F.col("d2") if limit is None else F.least("d2", F.lit(int(limit)))

@@ -171,7 +171,7 @@ def test_classify_many_clusters(spark):
     try:
         classify.TASK_ROWS = 10
         assert classify.order_search(p, 3, 10, outlier=3, rounds=1)[1] == first[1] or first[1] > 0
-        a = classify.measure_order(p, [0, 1, 2], 3, 10, 3, 10)[3]
+        a = classify.measure_order(p, [0, 1, 2], 3, 10, 3, 10)
     finally:
         classify.TASK_ROWS = 200_000
     assert a == classify.order_search(p, 3, 10, outlier=3, rounds=0)[1]
