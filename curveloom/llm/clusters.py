@@ -93,9 +93,8 @@ def flow_clusters(points: DataFrame, k: int = 5, merge: bool = True) -> DataFram
     """``(id, grp, cluster_id, flow_cluster, inflow, size, outlier)`` of every point; one that no step reaches is its own cluster.
 
     Exact copies are one node of the similarity graph, which ties each to its nearest within ``lim``; Markov clustering divides it into units, each around an attractor.
-    With ``merge`` units that a step of at most ``lim`` ties become one cluster: first by the graph's own steps between units, then by an exact search
-    whose cells are built around the attractors and which compares points only where a cell can hold a step between different units.
-    cluster_id is the smallest id of the cluster; flow_cluster names the unit. Without ``merge`` the units themselves are the clusters.
+    With ``merge`` units that a step of at most ``lim`` ties become one cluster, by an exact check over all rows: its cells are built around the attractors and it compares
+    points only where a cell can hold a step between different units. cluster_id is the smallest id of the cluster; flow_cluster names the unit. Without ``merge`` the units themselves are the clusters.
     """
     spark = points.sparkSession
     work = Stages(spark, "clusters")
@@ -107,11 +106,8 @@ def flow_clusters(points: DataFrame, k: int = 5, merge: bool = True) -> DataFram
     unit = work.write(nodes.join(flow, "id", "left").select("id", "grp", "coords", "lim", F.coalesce("flow_cluster", "id").alias("flow_cluster"), F.coalesce("inflow", F.lit(0.0)).alias("inflow")))
     named = unit.select("id", "flow_cluster", "inflow", F.col("flow_cluster").alias("root"))
     if merge:
-        f = unit.select("id", "flow_cluster")
-        cross = graph.join(f.select(F.col("id").alias("a"), F.col("flow_cluster").alias("fa")), "a").join(f.select(F.col("id").alias("b"), F.col("flow_cluster").alias("fb")), "b")
-        cross = cross.where("fa <> fb").select(F.least("fa", "fb").alias("a"), F.greatest("fa", "fb").alias("b")).distinct()
-        named = work.write(_joined(named, connected_groups(cross)))
-        links = cluster_links(unit.join(named.select("id", F.col("root").alias("comp")), "id"), unit.where("id = flow_cluster").select("grp", "id", "coords").join(unit.groupBy(F.col("flow_cluster").alias("id")).agg(F.count("*").alias("weight")), "id"))
+        size = unit.groupBy(F.col("flow_cluster").alias("id")).agg(F.count("*").alias("weight"))
+        links = cluster_links(unit.select("id", "grp", "coords", "lim", F.col("flow_cluster").alias("comp")), unit.where("id = flow_cluster").select("grp", "id", "coords").join(size, "id"))
         if not links.isEmpty():
             named = work.write(_joined(named, connected_groups(links)))
     whose = nodes.select(F.col("id").alias("node"), "grp", "coords").join(named.withColumnRenamed("id", "node"), "node")
