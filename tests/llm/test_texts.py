@@ -127,6 +127,29 @@ def test_sources_and_tokens(spark):
     assert {r.doc_id: r.tokens for r in M.sized_documents(docs, t).collect()} == {1: 2, 2: 0, 5: 0}
 
 
+def test_tokens_are_those_of_plain_merging():
+    """Byte pairs merged one at a time, lowest rank first."""
+    import base64
+    import regex
+
+    with open(M.RANKS, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+    def plain(word):
+        parts = [bytes([b]) for b in word.encode()]
+        while len(parts) > 1:
+            best = min(range(len(parts) - 1), key=lambda i: ranks.get(parts[i] + parts[i + 1], 1 << 30))
+            if parts[best] + parts[best + 1] not in ranks:
+                break
+            parts[best : best + 2] = [parts[best] + parts[best + 1]]
+        return [ranks[p] for p in parts]
+
+    enc = M._encoder(M.RANKS)
+    for text in ("It's  the 27th straßenfest, naïve Ünïcode: 日本語 and\n\n tabs\t!", "", "a" * 300, "don't we'll"):
+        want = [t for w in regex.findall(M.SPLIT, text) for t in plain(w)]
+        assert enc.encode_ordinary(text) == want and enc.decode(want) == text
+
+
 def _corpus():
     rng = np.random.default_rng(2)
     nouns = {"sea": ["harbours", "anchors", "sailors", "tides", "lighthouses"], "art": ["painters", "brushes", "canvases", "galleries", "sketches"]}
