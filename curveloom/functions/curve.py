@@ -9,52 +9,66 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def _columns(x: np.ndarray, bits: int) -> np.ndarray:
+    """A copy with a dimension to a row, so that each is contiguous, in the narrowest type that will do."""
+    return np.array(x.T, dtype=np.uint32 if bits <= 31 else np.uint64, order="C")
+
+
 def to_transposed(x: np.ndarray, bits: int) -> np.ndarray:
     """Rows of coordinates (n, dims) to transposed curve positions."""
-    x = x.astype(np.uint64).copy()
-    n = x.shape[1]
-    first = x[:, 0].copy()
+    x = _columns(x, bits)
+    kind = x.dtype.type
+    first = x[0]
     for level in range(bits - 1, 0, -1):
-        q, p = np.uint64(1 << level), np.uint64((1 << level) - 1)
-        for i in range(n):
-            col = first if i == 0 else x[:, i]
+        q, p = kind(1 << level), kind((1 << level) - 1)
+        first ^= np.where(first & q, p, kind(0))
+        for col in x[1:]:
             high = (col & q) != 0
-            swap = np.where(high, np.uint64(0), (first ^ col) & p)
-            if i:
-                x[:, i] ^= swap
+            swap = np.where(high, kind(0), (first ^ col) & p)
+            col ^= swap
             first ^= np.where(high, p, swap)
-    x[:, 0] = first
-    np.bitwise_xor.accumulate(x, axis=1, out=x)
-    t = np.zeros(len(x), np.uint64)
+    np.bitwise_xor.accumulate(x, axis=0, out=x)
+    t = np.zeros(x.shape[1], kind)
     for level in range(bits - 1, 0, -1):
-        t ^= np.where(x[:, -1] & np.uint64(1 << level), np.uint64((1 << level) - 1), np.uint64(0))
-    return x ^ t[:, None]
+        t ^= np.where(x[-1] & kind(1 << level), kind((1 << level) - 1), kind(0))
+    x ^= t
+    return x.T
 
 
 def from_transposed(x: np.ndarray, bits: int) -> np.ndarray:
     """Inverse of :func:`to_transposed`."""
-    x = x.astype(np.uint64).copy()
-    n = x.shape[1]
-    t = x[:, -1] >> np.uint64(1)
-    x[:, 1:] ^= x[:, :-1].copy()
-    x[:, 0] ^= t
+    x = _columns(x, bits)
+    kind = x.dtype.type
+    t = x[-1] >> kind(1)
+    x[1:] ^= x[:-1].copy()
+    x[0] ^= t
+    first = x[0]
     for level in range(1, bits):
-        q, p = np.uint64(1 << level), np.uint64((1 << level) - 1)
-        for i in range(n - 1, -1, -1):
-            high = (x[:, i] & q) != 0
-            swap = np.where(high, np.uint64(0), (x[:, 0] ^ x[:, i]) & p)
-            if i:
-                x[:, i] ^= swap
-            x[:, 0] ^= np.where(high, p, swap)
-    return x
+        q, p = kind(1 << level), kind((1 << level) - 1)
+        for col in x[:0:-1]:
+            high = (col & q) != 0
+            swap = np.where(high, kind(0), (first ^ col) & p)
+            col ^= swap
+            first ^= np.where(high, p, swap)
+        first ^= np.where(first & q, p, kind(0))
+    return x.T.astype(np.uint64)
 
 
 def interleave(x: np.ndarray, bits: int) -> np.ndarray:
     """Transposed rows to big-endian bytes (n, ceil(dims * bits / 8)); the highest bit of dimension 0 comes first."""
-    shifts = np.arange(bits - 1, -1, -1, dtype=np.uint64)
-    flat = ((x[:, None, :] >> shifts[None, :, None]) & np.uint64(1)).astype(np.uint8).reshape(len(x), -1)
-    pad = -flat.shape[1] % 8
-    return np.packbits(np.pad(flat, ((0, 0), (pad, 0))), axis=1)
+    n, dims = x.shape
+    pad = -bits * dims % 8
+    flat = np.zeros((pad + bits * dims, n), np.uint8)
+    for k, level in enumerate(range(bits - 1, -1, -1)):
+        flat[pad + k * dims : pad + (k + 1) * dims] = (x.T >> x.dtype.type(level)) & x.dtype.type(1)
+    return np.ascontiguousarray(np.packbits(flat, axis=0).T)
+
+
+def curve_order(x: np.ndarray, ids: np.ndarray, bits: int) -> np.ndarray:
+    """Places of the rows along the curve, ties by id."""
+    keys = interleave(to_transposed(x, bits), bits)
+    first = np.argsort(ids, kind="stable")
+    return first[np.argsort(keys[first].view(f"S{keys.shape[1]}").ravel(), kind="stable")]
 
 
 def deinterleave(b: np.ndarray, bits: int, dims: int) -> np.ndarray:
@@ -64,7 +78,7 @@ def deinterleave(b: np.ndarray, bits: int, dims: int) -> np.ndarray:
 
 
 def _rows(s: pd.Series) -> np.ndarray:
-    return np.stack(s.to_numpy()).astype(np.int64)
+    return np.concatenate(s.to_numpy()).reshape(len(s), -1).astype(np.int64)
 
 
 def _keys(s: pd.Series, bits: int) -> np.ndarray:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.curve import curve_key, interleave, to_transposed
+from ..functions.curve import curve_key, curve_order
 from ..functions.points import permute, square_distance
 from ..runtime import Stages
 from .groups import joined_names, renamed
@@ -109,17 +109,17 @@ def order_search(points: DataFrame, dims: int, bits: int, outlier: int = 5, skip
         return best, int(n > outlier)
 
     def measuring(perms: list[list[int]], how: Callable):
-        def measure(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            ids, x = pdf.id.to_numpy(), np.stack(pdf.coords.to_numpy()).astype(np.int64)
-            keys = interleave(to_transposed(x[:, perms[key[0]]], bits), bits)
-            o = np.lexsort((ids, *keys.T[::-1]))
-            return pd.DataFrame({"trial": [key[0]], "clusters": [how(np.square(np.diff(x[o], axis=0)).sum(axis=1), outlier, skip)]})
+        def measure(key: tuple, t: pa.Table) -> pa.Table:
+            ids, x = t["id"].to_numpy(), t["coords"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1)[:, perms[key[0].as_py()]].astype(np.int64)
+            o = curve_order(x, ids, bits)
+            steps = np.concatenate([np.square(np.diff(x[o[lo : lo + 10_001]], axis=0)).sum(axis=1) for lo in range(0, len(o), 10_000)])
+            return pa.table({"trial": pa.array([key[0].as_py()], pa.int32()), "clusters": pa.array([how(steps, outlier, skip)], pa.int32())})
 
         return measure
 
     def kernel(perms: list[list[int]], rows: DataFrame, how: Callable = default_metric) -> dict[int, int]:
         tried = rows.select("id", "coords", F.explode(F.array(*map(F.lit, range(len(perms))))).alias("trial"))
-        return {row.trial: row.clusters for row in tried.groupBy("trial").applyInPandas(measuring(perms, how), "trial int, clusters int").collect()}
+        return {row.trial: row.clusters for row in tried.groupBy("trial").applyInArrow(measuring(perms, how), "trial int, clusters int").collect()}
 
     counted = lambda perm: kernel([perm], points)[0] if n <= TASK_ROWS else measure_order(points, perm, dims, bits, outlier, skip)
     first = counted(best)

@@ -107,3 +107,10 @@ def key_range(rows: DataFrame, key: str) -> DataFrame:
     """One row ``(low, high, n, dense)`` of an integer key; dense if the range holds at most twice as many numbers as there are distinct keys. No keys: nulls and 0."""
     r = rows.agg(F.min(key).alias("low"), F.max(key).alias("high"), F.count(key).alias("n"), F.count_distinct(F.col(key)).alias("kinds"))
     return r.select("low", "high", "n", F.coalesce(F.col("high") - F.col("low") + 1 <= 2 * F.col("kinds"), F.lit(False)).alias("dense"))
+
+
+def repeats(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """One row ``(keys, repeated, differing)``: keys without nulls, those with several rows, and those whose rows differ in ``columns`` (nulls are a value)."""
+    h = F.xxhash64(*[F.when(F.col(c).isNull(), F.lit(f"null {c}")).otherwise(F.col(c).cast("string")) for c in columns])
+    g = rows.where(" and ".join(f"`{k}` is not null" for k in keys)).groupBy(*keys).agg(F.count("*").alias("n"), F.min(h).alias("low"), F.max(h).alias("high"))
+    return g.agg(F.count("*").alias("keys"), F.count_if(F.col("n") > 1).alias("repeated"), F.count_if(F.col("low") != F.col("high")).alias("differing"))

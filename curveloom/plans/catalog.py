@@ -639,3 +639,22 @@ def joined_labels(spark, d):
     o = c.select(F.col("label").alias("b"), F.col("centroid").alias("c2"))
     near = c.select(F.col("label").alias("a"), "centroid").join(o, F.col("a") < F.col("b")).where(P.square_distance(F.col("centroid"), F.col("c2")) <= 300_000)  # a few labels
     return groups.joined_names(near.select("a", "b"))
+
+
+_DELIVERED = {"points": (["point_id"], ["dataset_id", "coords"]), "dimension_values": (["reading_id"], ["dataset_id", "dim_no", "obs_day", "coord"]), "raw_lines": (["file_id", "line_no"], ["raw_line"])}
+
+
+@query(
+    "repeated_deliveries",
+    " UNION ALL ".join(
+        f"SELECT '{t}' AS name, count(*) AS keys, count(*) FILTER (n > 1) AS repeated, count(*) FILTER (k > 1) AS differing FROM (SELECT count(*) AS n, count(DISTINCT {{{', '.join(f'{c!r}: {c}' for c in cols)}}}) AS k FROM {t} WHERE {' AND '.join(f'{c} IS NOT NULL' for c in keys)} GROUP BY {', '.join(keys)})"
+        for t, (keys, cols) in _DELIVERED.items()
+    ),
+)
+def repeated_deliveries(spark, d):
+    """Rows delivered again in the tables whose readers keep one of them, and keys whose deliveries differ."""
+    out = None
+    for t, (keys, cols) in _DELIVERED.items():
+        r = stats.repeats(table(spark, d, t), keys, cols).select(F.lit(t).alias("name"), "keys", "repeated", "differing")
+        out = r if out is None else out.unionByName(r)
+    return out

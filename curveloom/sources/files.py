@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import itertools
 import sys
 from dataclasses import dataclass
 
@@ -41,6 +42,16 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return _positions(spark, path).select("file", "line_no", "raw_line")
 
 
+def _standard_input(spark: SparkSession, chunk: int = 100_000) -> DataFrame:
+    """Lines of standard input, staged ``chunk`` by chunk, so that the driver holds one chunk."""
+    work, schema, at = Stages(spark, "stdin"), "file string, pos bigint, line_no bigint, raw_line string", 0
+    out = spark.createDataFrame([], schema)
+    while some := list(itertools.islice(sys.stdin, chunk)):
+        out = out.unionByName(work.write(spark.createDataFrame([("-", at + i, at + i + 1, x.rstrip("\n")) for i, x in enumerate(some)], schema)))
+        at += len(some)
+    return out
+
+
 def record_lines(lines: DataFrame, separator: str = "comma", most: int = RECORD_LINES) -> DataFrame:
     """``(file, line_no, record, raw_line)``: each line of ``lines(file, pos, line_no, raw_line)`` with the number of the line on which its record begins.
 
@@ -69,7 +80,7 @@ def read_points(spark: SparkSession, path: str, layout: PointFile = PointFile())
     a broken quote costs its own line only. Input without lines gives no rows.
     """
     if path == "-":
-        lines = spark.createDataFrame([("-", i, i + 1, x.rstrip("\n")) for i, x in enumerate(sys.stdin)], "file string, pos bigint, line_no bigint, raw_line string")
+        lines = _standard_input(spark)
     else:
         lines = _positions(spark, path)
     lines = Stages(spark, "lines").write(lines)

@@ -50,15 +50,18 @@ def follow(state: tuple[int, int, int, int], values: np.ndarray, q: float, seed:
 
 
 def batch_quantile(rows: DataFrame, key: str, value: str, order: str, q: float) -> DataFrame:
-    """``(key, estimate, n)`` of one pass in ``order`` over each key's values. Sequential by definition: a key is one task. Nulls are left out."""
+    """``(key, estimate, n)`` of one pass in ``order`` over each key's values. Sequential by definition: a key is one task, whose values pass in batches. Nulls are left out."""
+    kind = rows.schema[key].dataType
+    x = rows.where(f"{value} is not null and {key} is not null").select(F.col(key).alias("k"), F.col(order).alias("o"), F.col(value).cast("long").alias("v"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = pdf.sort_values(order)[value].to_numpy()
-        m, _, _, n = follow((0, 1, 1, 0), v, q)
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "estimate": [m], "n": [n]})
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = (0, 1, 1, 0)
+        for b in batches:
+            state = follow(state, b["v"].to_numpy(zero_copy_only=False), q)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], b["k"].type), pa.array([state[0]], pa.int64()), pa.array([state[3]], pa.int64())], names=["k", "estimate", "n"])
 
-    kind = rows.schema[key].dataType.simpleString()
-    return rows.where(f"{value} is not null and {key} is not null").select(key, order, value).groupBy(key).applyInPandas(run, f"{key} {kind}, estimate bigint, n bigint")
+    out = x.repartition("k").sortWithinPartitions("k", "o").groupBy("k").applyInArrow(run, f"k {kind.simpleString()}, estimate bigint, n bigint")
+    return out.withColumnRenamed("k", key)
 
 
 #: Values up to which a shuffled estimate is the order statistic itself, and values its start is taken from.

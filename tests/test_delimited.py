@@ -134,3 +134,14 @@ def test_records_across_splits(spark, tmp_path):
         assert {(r.line_no, int(r.id)) for r in good.collect()} == want and bad.count() == 0
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_standard_input(spark, monkeypatch):
+    import io
+    import sys
+
+    monkeypatch.setattr(sys, "stdin", io.StringIO('id,cat,x\n1,"a\nb",3\n2,c,x\n'))
+    good, bad = read_points(spark, "-", PointFile("id", "cat"))
+    assert [(r.line_no, r.category, r.coords) for r in good.collect()] == [(2, "a\nb", [3])] and [(r.line_no, r.reason) for r in bad.collect()] == [(4, "value")]
+    monkeypatch.setattr(sys, "stdin", io.StringIO(""))
+    assert read_points(spark, "-")[0].count() == 0
