@@ -12,6 +12,8 @@ from .neighbors import _local_roots, _matrix
 
 #: Rows a cell should hold, most cells of a group, and rows of either side that meet in one task.
 PER, CELLS, BLOCK = 1024, 1024, 16_384
+#: Numbers of the pivots that the driver and the tasks hold at once; more groups are done in passes.
+PIVOT_VALUES = 16_000_000
 
 _EPS = float(np.finfo(np.float64).eps)
 
@@ -61,19 +63,36 @@ def _meet(key: tuple, t: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
 
 
-def cluster_links(points: DataFrame, centres: DataFrame | None = None, per: int = PER, cells: int = CELLS, block: int = BLOCK) -> DataFrame:
+def cluster_links(points: DataFrame, centres: DataFrame | None = None, per: int = PER, cells: int = CELLS, block: int = BLOCK, values: int = PIVOT_VALUES) -> DataFrame:
     """``(a, b)``: pairs of clusters of ``points(id, grp, coords, lim, comp)`` that tie all clusters with a step of square length <= ``lim`` between them.
 
     Exact, across all rows of a group. At most ``cells`` of the ``centres(grp, id, coords, weight)``, the heaviest, are the pivots of a group (sampled points if none
     are given): with the attractors of flow units a cell holds whole units and has few visitors. Each point is owned by the cell of its nearest one and
     visits each later cell that can hold a point within sqrt(lim) of another cluster, by the cell's radius (without its largest cluster for points
     of that cluster) and by the plane between the pivots. Visitors and owned rows meet in blocks, so no task holds more than two blocks.
-    Well parted clusters visit few cells; where everything is within sqrt(lim) of every cell and clusters are many, the work is all pairs.
+    The pivots of many groups are held in passes of ``values`` numbers. Well parted clusters visit few cells; where everything is within sqrt(lim) of every cell and clusters are many, the work is all pairs.
     """
     spark = points.sparkSession
     work = Stages(spark, "links")
     one = work.write(points.where("lim >= 0").groupBy("grp", "lim", "coords", "comp").agg(F.min("id").alias("id")))
     empty = spark.createDataFrame([], "a bigint, b bigint")
+    shape = one.groupBy("grp").agg(F.count("*").alias("n"), F.max(F.size("coords")).alias("dims"))
+    total = shape.agg(F.sum(F.least(F.lit(cells), F.ceil(F.col("n") / per)) * F.col("dims"))).first()[0] or 0
+    passes = -(-total // values)
+    if passes > 1:
+        out = empty
+        for k in range(passes):
+            mine = F.pmod(F.xxhash64("grp"), F.lit(passes)) == k
+            out = out.unionByName(_one_pass(one.where(mine), None if centres is None else centres.where(mine), per, cells, block))
+        return out
+    return _one_pass(one, centres, per, cells, block)
+
+
+def _one_pass(one: DataFrame, centres: DataFrame | None, per: int, cells: int, block: int) -> DataFrame:
+    """:func:`cluster_links` of the groups of ``one(id, grp, lim, coords, comp)``, all pivots at once."""
+    spark = one.sparkSession
+    work = Stages(spark, "links")
+    empty = spark.createDataFrame([], "a bigint, b bigint")
     sizes = {r.grp: r.n for r in one.groupBy("grp").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").collect()}
     if not sizes:
         return empty

@@ -182,3 +182,4 @@ def test_cluster_links(spark):
     comp = np.arange(len(x))
     want = groups((int(i), int(j)) for i, j in np.argwhere(near))
     assert groups((r.a, r.b) for r in cluster_links(lone, per=100).collect()) == want
+    assert groups((r.a, r.b) for r in cluster_links(lone, per=100, values=50).collect()) == want  # a pass a group
