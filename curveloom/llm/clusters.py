@@ -11,10 +11,11 @@ from .components import connected_groups
 from .links import cluster_links
 from .neighbors import nearest_vectors
 
-#: Share of a column under which entries are pruned, most entries of a column (the largest; ties by smaller row), inflation, and steps after which an unsettled flow is an error.
-PRUNE, MOST, INFLATION, MAX_STEPS = 0.1, 10, 2.0, 60
+#: Share of a column under which entries are pruned, most entries of a column (the largest; ties by smaller row), inflation of the first EVEN steps, by which the units have formed, and of
+#: later ones, and steps after which an unsettled flow is an error.
+PRUNE, MOST, INFLATION, LATER, MAX_STEPS = 0.1, 10, 2.0, 4.0, 60
 #: A column is settled when one entry is over CLEAR, or, after EVEN steps, when its largest entry less the sum of its squares is under ALIKE: its entries are alike and stay so.
-CLEAR, EVEN, ALIKE = 0.9, 6, 0.05
+CLEAR, EVEN, ALIKE = 0.9, 4, 0.05
 
 
 def _columns(raw: DataFrame, inflation: float, prune: float, most: int, even: bool = False) -> DataFrame:
@@ -78,7 +79,7 @@ def markov_clusters(edges: DataFrame, inflation: float = INFLATION, prune: float
         right = _union([*kept, open_.select("c", "e")]).select(F.col("c").alias("k"), "e")
         met = left.join(right, "k").select("c", "va", F.explode("e").alias("x")).select("c", F.col("x.r").alias("r"), (F.col("va") * F.col("x.v")).alias("v"))
         squared = met.repartition("c").groupBy("c", "r").agg(F.sum("v").alias("v"))
-        now = work.write(_columns(squared, inflation, prune, most, step >= EVEN))
+        now = work.write(_columns(squared, inflation if step < EVEN else max(inflation, LATER), prune, most, step >= EVEN))
     to = work.write(_union([*kept, now.select("c", "e")]).select(F.col("c").alias("id"), F.expr("e[0].r").alias("p"), F.lit(True).alias("moved")))
     while not to.where("moved").isEmpty():  # flow of flow, by doubling: columns may settle on a node whose own flow goes on
         up = to.select(F.col("id").alias("p"), F.col("p").alias("pp"))
